@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factweave.llm import groups
+from factweave.llm import conversations, groups
 
 QUERIES = {
+    "p2_found": conversations.p2_found,
     "p3_found": groups.p3_found,
 }
 
