@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from factweave.llm import conversations, groups
+from factweave.llm import conversations, groups, leaks, mixing, sentences
 
 QUERIES = {
     "p2_found": conversations.p2_found,
     "p3_found": groups.p3_found,
+    "p8_found": leaks.p8_found,
+    "p8_items": leaks.p8_items,
+    "p9_shares": mixing.p9_shares,
+    "p9_mix": mixing.p9_mix,
+    "p10_found": sentences.p10_found,
 }
 
 ORACLES: dict[str, str] = {}
