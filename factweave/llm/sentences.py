@@ -29,7 +29,8 @@ LAYOUT = [
     ("heading", re.compile(r"[ \t]*#{1,6}[ \t]+\S"), True),
     ("channel", re.compile(r"[ \t]*#[\w-]+[ \t]*$"), True),
     ("quote", re.compile(r"[ \t]*>+[ \t]*"), False),
-    ("item", re.compile(r"[ \t]*(?:[-*•◦▪‣+–][ \t]+|\(?(?:\d{1,3}|[a-z])[.)][ \t]+)"), False),
+    ("item", re.compile(r"[ \t]*[-*•◦▪‣+–][ \t]+"), False),
+    ("numbered item", re.compile(r"[ \t]*\(?(?:\d{1,3}|[a-z])[.)][ \t]+"), False),
     ("header", re.compile(
         r"(?:From|To|Cc|Bcc|Date|Sent|Subject|Reply-To|Status|Owner|Ref|Meeting|Attendees|Length|Assignee|Priority|Labels?|Title|Author|Reviewers?)[ \t]*:(?=\s|$)"), True),
     ("greeting", re.compile(r"(?:Hi|Hello|Hey|Dear|Hallo|Liebe[rs]?|Bonjour|Hola|Good (?:morning|afternoon|evening))\b[^\n.?]{0,40}[,!:]?[ \t]*$"), True),
@@ -38,7 +39,8 @@ LAYOUT = [
     ("lower turn", re.compile(rf"[a-z][\w'’-]* [a-z][\w'’-]*{_ROLE}:(?=\s|$)"), False),
     ("label", re.compile(r"[^\W\d_a-z][\w-]*(?: [\w-]+)?:(?=\s)"), False),
 ]
-#: A name in lower case starts a turn only where the line before was finished.
+#: Kinds that count only where the line before was finished or is a unit or item itself.
+CAUTIOUS = {"numbered item", "lower turn", "label"}
 FINISHED = re.compile(r"[.!?…。！？।؟]['\"’”»」)\]]*\s*$")
 
 # ---------------------------------------------------------------- quotations
@@ -87,8 +89,10 @@ def _rules() -> list[tuple[bool, re.Pattern, re.Pattern]]:
         # German ordinals and numbered months.
         (JOIN, r"\b(?:am|im|vom|zum|bis|ab|der|dem|den|des|die|das|seit)\s\d{1,3}\.$", r"\s+[A-ZÄÖÜ]"),
         (JOIN, r"\b\d{1,2}\.$", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal)\b"),
+        # Units of measure after a number.
+        (BREAK, r"\d\s?(?:ms|min|mins|h|hrs|s|sec|st|mt|no)\.$", r"\s+[^\W\d_a-z]"),
         # Abbreviations of several parts, between the parts.
-        (JOIN, r"(?:^|[\s(])[zduiopsZDUIOPS]\.$", r"\s?[BhaaTUÄReoljx]\."),
+        (JOIN, r"(?:^|[\s(])[a-zA-Z]\.$", r"\s?[^\W\d_]\."),
         # Numbers named by an abbreviation.
         (JOIN, r"\b(?:[Nn]o|[Nn]r|[Aa]rt|[Ss]ec|[Cc]h|[Vv]ol|[Pp]p?|[Mm]ax|[Mm]in|[Ff]ig|pág|núm)\.$", r"\s*\d"),
         (JOIN, rf"(?:^|[\s(\[“\"'„«—–/-])(?:{never})\.$", any_),
@@ -140,16 +144,14 @@ def _starts(line: str, before: str) -> tuple[int, bool]:
     """Length of the marker with which a line starts a unit (0: none), and whether it is one."""
     for kind, pattern, alone in LAYOUT:
         m = pattern.match(line)
-        if m is None or (kind == "lower turn" and before and not FINISHED.search(before) and not _alone(before)):
-            continue
-        if kind == "label" and before and not FINISHED.search(before) and not _alone(before):
+        if m is None or (kind in CAUTIOUS and before and not FINISHED.search(before) and not _stands(before)):
             continue
         return max(1, m.end()), alone
     return 0, False
 
 
-def _alone(line: str) -> bool:
-    return any(alone and pattern.match(line) for _, pattern, alone in LAYOUT)
+def _stands(line: str) -> bool:
+    return any((alone or kind.endswith("item")) and pattern.match(line) for kind, pattern, alone in LAYOUT)
 
 
 def _quotations(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -217,9 +219,9 @@ def _breaks(text: str, start: int, end: int, free: int) -> list[int]:
         closes = q < len(quotations) and quotations[q][0] < m.start() <= quotations[q][1] < at
         if closes and m.group(0)[0] in _CJK_END:
             # A quotation that begins the sentence goes on with who said it.
-            if not _spoken(text, last, quotations[q][0]) and text[last : quotations[q][0]].strip() == "":
+            if not _spoken(text, max(last, free), quotations[q][0]) and text[max(last, free) : quotations[q][0]].strip() == "":
                 continue
-        elif closes and _spoken(text, last, quotations[q][0]) and _GOES_NO_FURTHER.match(text, at, end):
+        elif closes and _spoken(text, max(last, free), quotations[q][0]) and _GOES_NO_FURTHER.match(text, at, end):
             cuts.append(at)
             last = at
             continue
