@@ -36,7 +36,7 @@ def _town(n: int) -> str:
 ADDRESS = re.compile(
     r"(?<![\w-])(?:"
     # unit, number, street, unit, town, postcode
-    rf"(?:{_UNIT},?\s+)?\d{{1,5}}[A-Za-z]?,?\s+(?:[A-Z][\w'’]*\s+){{1,3}}?{_EN}(?!\w)(?:,?\s+{_UNIT})?(?:,\s+{_town(1)}(?:,?\s+\d{{5}}(?!\d))?|,?\s+\d{{5}}\s+{_town(2)})?"
+    rf"(?:{_UNIT},?\s+)?\d{{1,5}}[A-Za-z]?,?\s+(?:[A-Z][\w'’]*\s+){{1,3}}{_EN}(?!\w)(?:,?\s+{_UNIT})?(?:,\s+{_town(1)}(?:,?\s+\d{{5}}(?!\d))?|,?\s+\d{{5}}\s+{_town(2)})?"
     # street, number, postcode, town
     rf"|(?:{_DE}|(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter)\s+(?:(?:der|dem|den)\s+)?(?:[A-ZÄÖÜ][\wäöüß]+\s+){{0,2}}?[A-ZÄÖÜ][\wäöüß]+)\s+\d{{1,4}}\s?[a-z]?(?!\w)(?:,\s+{_UNIT})?,\s+\d{{5}}\s+{_town(3)}"
     rf"|{_DE}\s+\d{{1,4}}[a-z]?(?!\w)"
