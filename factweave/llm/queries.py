@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factweave.llm import conversations, groups, leaks, mixing, pii, sentences
+from factweave.llm import conversations, groups, leaks, mixing, names, pii, sentences
 
 QUERIES = {
     "p2_found": conversations.p2_found,
     "p3_found": groups.p3_found,
+    "p4_found": names.p4_found,
     "p5_found": pii.p5_found,
     "p8_found": leaks.p8_found,
     "p8_items": leaks.p8_items,
