@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.llm import groups
 from factweave.llm import name_forms as N
@@ -18,7 +19,9 @@ MAX_PIVOTS = 512
 #: Different full names that use a mailbox before it counts as shared.
 SHARED_BOX = 3
 
-_FORM = "kind string, first string, last string, whole string"
+# Types are objects, since a text would need a session when the module is imported.
+_FORM = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "first", "last", "whole")])
+_MAIL = T.StructType([T.StructField("identity", T.StringType()), *_FORM.fields])
 
 
 # ---------------------------------------------------------------- the metric join
@@ -53,7 +56,7 @@ def within(strings: DataFrame, radius: int = RADIUS, max_pivots: int = MAX_PIVOT
     return close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([N.damerau(x, y) for x, y in zip(a, b)], dtype="int32")
 
@@ -83,7 +86,7 @@ def _read(mention: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(forms, columns=["kind", "first", "last", "whole"], dtype=object)
 
 
-@F.pandas_udf("identity string, kind string, first string, last string, whole string")
+@F.pandas_udf(_MAIL)
 def _read_email(email: pd.Series) -> pd.DataFrame:
     rows = []
     for e in email:
@@ -195,7 +198,7 @@ def people(recs: DataFrame) -> DataFrame:
     return settled.select("key", "entity").unionByName(initials).unionByName(rest).where("entity is not null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _family(identity: pd.Series) -> pd.Series:
     return identity.map(N.domain_family)
 
