@@ -72,3 +72,24 @@ def runs(df: DataFrame, keys: Sequence[str], shard: str, time: str, value: str)
     after = first.withColumn("__next", F.lead("__first").over(across)).where("__next is not null")
     led = carry_join(starts.withColumn("__lead", F.lead(time).over(inside)), after, [*k, shard], ["__next"])
     return led.select(*k, value, F.col(time).alias("run_from"), F.coalesce("__lead", "__next").alias("run_to"))
+
+
+def neighbour(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[str], bring: Sequence[str], ahead: bool, prefix: str) -> DataFrame:
+    """Adds ``prefix + column`` of the next (``ahead``) or previous row of the key.
+
+    Order is (``shard``, ``order``), which must not tie. Like ``lead`` and ``lag``, but a key
+    of any size is worked on in shards.
+    """
+    k = list(keys)
+    row = F.struct(*[F.col(c).alias(c) for c in bring])
+    inside = Window.partitionBy(*k, shard).orderBy(*order)
+    across = Window.partitionBy(*k).orderBy(shard)
+    step = F.lead("__row") if ahead else F.lag("__row")
+    edge = F.min_by if ahead else F.max_by
+    rows = df.withColumn("__row", row)
+    ends = rows.groupBy(*k, shard).agg(edge("__row", F.struct(*order)).alias("__end"))
+    shift = F.lead("__end") if ahead else F.lag("__end")
+    carry = ends.withColumn("__far", shift.over(across)).drop("__end")
+    joined = carry_join(rows.withColumn("__near", step.over(inside)), carry, [*k, shard], ["__far"])
+    found = F.coalesce("__near", "__far")
+    return joined.select(*df.columns, *[found[c].alias(f"{prefix}{c}") for c in bring])

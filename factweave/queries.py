@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave import state_queries
 from factweave.operators import histories, instants, periods
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "p1_combined": histories.p1_combined,
     "p6_found": instants.p6_found,
     "p7_found": periods.p7_found,
+    **state_queries.QUERIES,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**state_queries.ORACLES}
