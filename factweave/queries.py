@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave import state_queries
+from factweave import identity_queries, retrieval_queries, state_queries
 from factweave.operators import histories, instants, periods
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ QUERIES: dict[str, Query] = {
     "p6_found": instants.p6_found,
     "p7_found": periods.p7_found,
     **state_queries.QUERIES,
+    **retrieval_queries.QUERIES,
+    **identity_queries.QUERIES,
 }
 
-ORACLES: dict[str, str] = {**state_queries.ORACLES}
+ORACLES: dict[str, str] = {**state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES}
