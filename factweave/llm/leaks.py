@@ -119,18 +119,27 @@ class WandIndex:
             i += 1
         c[1], c[0] = i, docs[i] if i < len(docs) else end
 
+    def stretches(self, w: list[str]) -> Iterator[list[str]]:
+        """Longest stretches of words that the index knows: no run goes beyond one."""
+        known, start = self.most, 0
+        for i, t in enumerate(w):
+            if t not in known:
+                if i - start >= RUN:
+                    yield w[start:i]
+                start = i + 1
+        if len(w) - start >= RUN:
+            yield w[start:]
+
     def leaked(self, text: str | None) -> set[str]:
         """Keys of the texts of which ``text`` holds a run, verified word by word."""
-        w = words(text)
         out: set[str] = set()
-        for start in range(0, max(1, len(w) - RUN + 1), RUN):
-            passage = w[start : start + PASSAGE]
-            if len(passage) < RUN:
-                break
-            hits = [no for no in self.search(passage) if self.keys[no] not in out]
-            if hits:
-                grams = [" ".join(passage[i : i + RUN]) for i in range(len(passage) - RUN + 1)]
-                out.update(self.keys[no] for no in hits if any(g in self.runs[no] for g in grams))
+        for w in self.stretches(words(text)):
+            for start in range(0, len(w) - RUN + 1, RUN):
+                passage = w[start : start + PASSAGE]
+                hits = [no for no in self.search(passage) if self.keys[no] not in out]
+                if hits:
+                    grams = [" ".join(passage[i : i + RUN]) for i in range(len(passage) - RUN + 1)]
+                    out.update(self.keys[no] for no in hits if any(g in self.runs[no] for g in grams))
         return out
 
 
