@@ -16,7 +16,7 @@ from factweave.sources.tables import table
 
 #: Consecutive words that make a leak.
 RUN = 10
-#: Words of a passage; passages start every RUN words, so each run lies whole in one of them.
+#: Most words of a passage; passages overlap so that each run lies whole in one of them.
 PASSAGE = 2 * RUN
 #: Test items of one index. More are searched in several blocks, each against all documents.
 ITEMS_PER_INDEX = 50_000
@@ -130,12 +130,35 @@ class WandIndex:
         if len(w) - start >= RUN:
             yield w[start:]
 
+    def passages(self, w: list[str]) -> Iterator[list[str]]:
+        """Passages of at most ``PASSAGE`` words in which a run may lie.
+
+        A run scores at most the sum of its words' bounds, so only places from which ``RUN``
+        words sum up to a threshold can begin one.
+        """
+        bound = [self.most[t] for t in w]
+        total = sum(bound[:RUN])
+        first = None
+        for i in range(len(w) - RUN + 1):
+            if i:
+                total += bound[i + RUN - 1] - bound[i - 1]
+            if total >= 1:
+                if first is None:
+                    first = i
+                elif i - first > RUN:
+                    yield w[first : i + RUN - 1]
+                    first = i
+            elif first is not None:
+                yield w[first : i + RUN - 1]
+                first = None
+        if first is not None:
+            yield w[first:]
+
     def leaked(self, text: str | None) -> set[str]:
         """Keys of the texts of which ``text`` holds a run, verified word by word."""
         out: set[str] = set()
         for w in self.stretches(words(text)):
-            for start in range(0, len(w) - RUN + 1, RUN):
-                passage = w[start : start + PASSAGE]
+            for passage in self.passages(w):
                 hits = [no for no in self.search(passage) if self.keys[no] not in out]
                 if hits:
                     grams = [" ".join(passage[i : i + RUN]) for i in range(len(passage) - RUN + 1)]
