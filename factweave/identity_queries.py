@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.operators import identity as I
+from factweave.plans.lineage import stored
 from factweave.sources.tables import table
 
 
@@ -44,6 +45,7 @@ def clustered(spark, folder):
     d = decisions(spark, folder)
     key = lambda s: F.try_element_at(F.filter(F.col(f"{s}.external_ids"), lambda x: x.startswith("mention:")), F.lit(1))
     edge = d.select(key("a").alias("u"), key("b").alias("v"), "decision", "score", F.size("a_emails").alias("ea"), F.size("b_emails").alias("eb"))
+    edge = stored(edge, "decisions")
     nodes = edge.select(F.col("u").alias("node")).union(edge.select("v")).distinct()
     anchors = edge.where("ea > 0").select(F.col("u").alias("node")).union(edge.where("eb > 0").select("v")).distinct()
     return I.clusters(nodes, edge.where("decision = 'MERGE'").select("u", "v"), edge.where("decision = 'REVIEW' and score >= 0.8").select("u", "v"), anchors)

@@ -193,21 +193,21 @@ def representatives(records: DataFrame) -> DataFrame:
 def clusters(nodes: DataFrame, merges: DataFrame, reviews: DataFrame, anchors: DataFrame) -> DataFrame:
     """``node, cluster``: components of merged pairs, then joined by review pairs that touch an anchored cluster.
 
-    ``merges(u, v)``, ``reviews(u, v)``, ``anchors(node)``. A cluster is anchored if it holds an
-    anchor; review pairs are added while they join clusters of which one is anchored, which
-    only grows, so the result does not depend on the order. The name is the smallest node.
+    ``merges(u, v)``, ``reviews(u, v)``, ``anchors(node)``. Review pairs are added while they
+    join clusters of which one is anchored. An anchored cluster so takes in, pair by pair, all
+    that review pairs link to it directly or indirectly, which makes the fixpoint a second
+    round of components: those that hold an anchor stand, the others fall back to the merged
+    pairs. The name of a cluster is its smallest node.
     """
-    found = smallest_reachable(nodes, merges)
-    while True:
-        named = found.select(F.col("node").alias("n"), F.col("cluster").alias("c"))
-        anchored = anchors.join(named, anchors["node"] == F.col("n")).select(F.col("c").alias("ac")).distinct()
-        ends = reviews.join(named, F.col("u") == F.col("n")).select(F.col("c").alias("cu"), "v").join(named, F.col("v") == F.col("n")).select("cu", F.col("c").alias("cv"))
-        live = ends.where("cu <> cv").distinct()
-        ok = cut(live.join(anchored, (F.col("cu") == F.col("ac")) | (F.col("cv") == F.col("ac")), "left_semi").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        if ok.isEmpty():
-            return found
-        joined = smallest_reachable(found.select(F.col("cluster").alias("node")).distinct(), ok).select(F.col("node").alias("c"), F.col("cluster").alias("to"))
-        found = cut(found.join(joined, F.col("cluster") == F.col("c")).select("node", F.col("to").alias("cluster")))
+    merges, reviews, anchors = cut(merges.distinct()), cut(reviews.distinct()), cut(anchors.distinct())
+    first = smallest_reachable(nodes, merges)
+    name = first.select(F.col("node").alias("n"), F.col("cluster").alias("c"))
+    ends = reviews.join(name, F.col("u") == F.col("n")).select(F.col("c").alias("cu"), "v").join(name, F.col("v") == F.col("n")).select(F.col("cu").alias("u"), F.col("c").alias("v"))
+    second = smallest_reachable(first.select(F.col("cluster").alias("node")).distinct(), ends).select(F.col("node").alias("c1"), F.col("cluster").alias("c2"))
+    both = first.join(second, F.col("cluster") == F.col("c1"))
+    anchored = both.join(anchors.withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left_semi").select(F.col("c2").alias("held")).distinct()
+    out = both.join(anchored, F.col("c2") == F.col("held"), "left")
+    return out.select("node", F.when(F.col("held").isNotNull(), F.col("c2")).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:

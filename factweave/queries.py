@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave import identity_queries, retrieval_queries, state_queries, text_queries
+from factweave import identity_queries, retrieval_queries, state_queries, stream_queries, text_queries
 from factweave.operators import histories, instants, periods
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     **retrieval_queries.QUERIES,
     **identity_queries.QUERIES,
     **text_queries.QUERIES,
+    **stream_queries.QUERIES,
 }
 
-ORACLES: dict[str, str] = {**state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES}
+ORACLES: dict[str, str] = {**state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES}

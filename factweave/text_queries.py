@@ -89,9 +89,9 @@ QUERIES = {
     "B04_slug_times": lambda s, d: documents(s, d).select("doc_id", N.slug_time(F.concat(F.lit("notes-"), F.date_format("created_at", "yyyy-MM"), F.lit("-x"))).alias("day")),
     "B07_mail_headers": mail_headers,
     "B11_slack_times": lambda s, d: chats(s, d).select("message_id").distinct().select("message_id", N.slack_time(F.col("message_id")).alias("at")),
-    "B12_mentions": lambda s, d: chats(s, d).select("id", F.array_join(N.mentions(F.col("content")), ",").alias("mentions")).where("mentions <> ''"),
+    "B12_mentions": lambda s, d: artifacts(s, d).select("id", F.array_join(N.mentions(F.array_join("metadata.mentions", " and ")), ",").alias("mentions")).where("mentions <> ''").distinct(),
     "B12_links": lambda s, d: documents(s, d).select("doc_id", F.array_join(N.links(F.col("text")), ",").alias("links")).where("links <> ''"),
-    "B13_thread_text": lambda s, d: N.thread_text(artifacts(s, d).where("source = 'slack'").select(F.col("metadata.channel_id").alias("channel_id"), F.col("metadata.thread_id").alias("thread_id"), F.col("metadata.message_id").alias("message_id"), "author", "title").where("thread_id is not null").distinct(), ["channel_id", "thread_id"], "message_id", "author", "title"),
+    "B13_thread_text": lambda s, d: N.thread_text(artifacts(s, d).where("source = 'slack'").select(F.col("metadata.channel_id").alias("channel_id"), F.col("metadata.thread_id").alias("thread_id"), F.col("metadata.message_id").alias("message_id"), "author", F.split_part("content", F.lit("\n"), F.lit(2)).alias("body")).where("thread_id is not null").distinct(), ["channel_id", "thread_id"], "message_id", "author", "body"),
     "B18_quoted_history": quoted,
     "B22_html_text": html_text,
     "C01_claim_problems": lambda s, d: C.problems(claims(s, d)).select("claim_id", F.array_join("problems", ",").alias("problems")).groupBy("claim_id", "problems").agg(F.count(F.lit(1)).alias("rows")),
