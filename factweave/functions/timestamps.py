@@ -49,7 +49,7 @@ def parse(df: DataFrame, value: str, date_order: str | None, instant: str, local
     means ``YMD``, in which a date that begins with a day or month cannot be read). The steps
     are separate projections, so that each expression is computed once.
     """
-    v = F.col("__v")
+    v = F.col("__ts_v")
     order = F.coalesce(F.col(date_order), F.lit("YMD")) if date_order else F.lit("YMD")
     epoch = F.when(v.rlike(r"^\d{9,10}(\.\d{1,9})?$"), (v.try_cast("decimal(20,6)") * F.lit(1000000)).cast("long"))
     epoch = epoch.when(v.rlike(r"^\d{12,13}$"), v.try_cast("long") * F.lit(1000))
@@ -66,47 +66,47 @@ def parse(df: DataFrame, value: str, date_order: str | None, instant: str, local
         .when(v.rlike(r"^\d{1,2}[/.-]\d") & (order == "MDY"), rewrite(MDY))
         .when(v.rlike(r"^\d{1,2}[/.-]\d") & (order == "DMY"), rewrite(DMY))
     )
-    parts = df.withColumn("__v", F.trim(value)).withColumns({"__epoch": epoch, "__p": F.split(fields, r"\|")})
+    parts = df.withColumn("__ts_v", F.trim(value)).withColumns({"__ts_epoch": epoch, "__ts_p": F.split(fields, r"\|")})
 
     def at(i: int) -> Column:
-        return F.try_element_at("__p", F.lit(i + 1))
+        return F.try_element_at("__ts_p", F.lit(i + 1))
 
     month_at = F.instr(F.lit(MONTHS), F.lower(F.substring(at(1), 1, 3)))
     month = F.when(at(1).rlike(r"^\d"), _int(at(1))).when(month_at % 3 == 1, ((month_at + 2) / 3).cast("int"))
     parts = parts.withColumns({
-        "__whole": F.size("__p") == 9,
-        "__month": month,
-        "__hour": F.coalesce(_int(at(3)), F.lit(0)),
-        "__minute": F.coalesce(_int(at(4)), F.lit(0)),
-        "__second": F.coalesce(_int(at(5)), F.lit(0)),
-        "__micros": F.when(at(6) != "", _int(F.rpad(F.substring(at(6), 1, 6), 6, "0"))).otherwise(0),
-        "__ap": F.upper(F.substring(at(7), 1, 1)),
-        "__zone": F.upper(at(8)),
-        "__digits": F.rpad(F.regexp_replace(at(8), r"[^\d]", ""), 4, "0"),
+        "__ts_whole": F.size("__ts_p") == 9,
+        "__ts_month": month,
+        "__ts_hour": F.coalesce(_int(at(3)), F.lit(0)),
+        "__ts_minute": F.coalesce(_int(at(4)), F.lit(0)),
+        "__ts_second": F.coalesce(_int(at(5)), F.lit(0)),
+        "__ts_micros": F.when(at(6) != "", _int(F.rpad(F.substring(at(6), 1, 6), 6, "0"))).otherwise(0),
+        "__ts_ap": F.upper(F.substring(at(7), 1, 1)),
+        "__ts_zone": F.upper(at(8)),
+        "__ts_digits": F.rpad(F.regexp_replace(at(8), r"[^\d]", ""), 4, "0"),
     })
     names = F.create_map(*[x for k, m in ZONE_NAMES.items() for x in (F.lit(k), F.lit(m))])
-    hour, zone = F.col("__hour"), F.col("__zone")
-    off_h, off_m = _int(F.substring("__digits", 1, 2)), _int(F.substring("__digits", 3, 2))
+    hour, zone = F.col("__ts_hour"), F.col("__ts_zone")
+    off_h, off_m = _int(F.substring("__ts_digits", 1, 2)), _int(F.substring("__ts_digits", 3, 2))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     numeric = F.when((off_h <= 18) & (off_m <= 59), sign * (off_h * 60 + off_m))
-    two = F.lpad(F.col("__month").cast("string"), 2, "0")
+    two = F.lpad(F.col("__ts_month").cast("string"), 2, "0")
     parts = parts.withColumns({
-        "__day": F.unix_date(F.concat_ws("-", at(0), two, F.lpad(at(2), 2, "0")).try_cast("date")).cast("long"),
-        "__h24": F.when(F.col("__ap") == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.col("__ap") == "P", 12).otherwise(0)),
-        "__off": F.when(zone.rlike(r"^[+-]"), numeric).otherwise(F.try_element_at(names, zone)),
+        "__ts_day": F.unix_date(F.concat_ws("-", at(0), two, F.lpad(at(2), 2, "0")).try_cast("date")).cast("long"),
+        "__ts_h24": F.when(F.col("__ts_ap") == "", hour).when(hour.between(1, 12), hour % 12 + F.when(F.col("__ts_ap") == "P", 12).otherwise(0)),
+        "__ts_off": F.when(zone.rlike(r"^[+-]"), numeric).otherwise(F.try_element_at(names, zone)),
     })
-    fits = F.expr("__whole and __month is not null and __h24 <= 23 and __minute <= 59 and __second <= 59")
-    seconds = F.expr("__day * 86400 + __h24 * 3600 + __minute * 60 + __second")
-    parts = parts.withColumn("__wall", F.when(fits, seconds * F.lit(1000000) + F.col("__micros")))
-    zoned = F.when(zone != "", F.col("__wall") - F.col("__off").cast("long") * F.lit(60000000))
+    fits = F.expr("__ts_whole and __ts_month is not null and __ts_h24 <= 23 and __ts_minute <= 59 and __ts_second <= 59")
+    seconds = F.expr("__ts_day * 86400 + __ts_h24 * 3600 + __ts_minute * 60 + __ts_second")
+    parts = parts.withColumn("__ts_wall", F.when(fits, seconds * F.lit(1000000) + F.col("__ts_micros")))
+    zoned = F.when(zone != "", F.col("__ts_wall") - F.col("__ts_off").cast("long") * F.lit(60000000))
     both = F.struct(
-        F.coalesce("__epoch", zoned).alias("i"),
-        F.when(F.col("__epoch").isNull() & (zone == ""), F.col("__wall")).alias("l"),
+        F.coalesce("__ts_epoch", zoned).alias("i"),
+        F.when(F.col("__ts_epoch").isNull() & (zone == ""), F.col("__ts_wall")).alias("l"),
     )
     # The one-element generator keeps later filters from being pushed below, which would
     # copy the whole expression into them.
-    made = parts.select(*df.columns, F.explode(F.array(both)).alias("__t"))
-    return made.select(*df.columns, F.col("__t.i").alias(instant), F.col("__t.l").alias(local))
+    made = parts.select(*df.columns, F.explode(F.array(both)).alias("__ts_t"))
+    return made.select(*df.columns, F.col("__ts_t.i").alias(instant), F.col("__ts_t.l").alias(local))
 
 
 def iso_utc(micros: Column) -> Column:

@@ -74,12 +74,12 @@ def localize(df: DataFrame, local: str, zone: str, table: DataFrame, out: str) -
     disjoint, so every row matches at most one and no row is duplicated.
     """
     seg = F.broadcast(table.select(
-        F.col("zone").alias("__zone"), F.col("year").alias("__year"),
-        F.col("local_from").alias("__from"), F.col("local_to").alias("__to"), F.col("offset_s").alias("__off"),
+        F.col("zone").alias("__z_zone"), F.col("year").alias("__z_year"),
+        F.col("local_from").alias("__z_from"), F.col("local_to").alias("__z_to"), F.col("offset_s").alias("__z_off"),
     ))
     seconds = F.floor(F.col(local) / F.lit(1000000)).cast("long")
-    keyed = df.withColumn("__s", seconds).withColumn("__y", _year(F.col("__s")))
-    on = (F.col(zone) == F.col("__zone")) & (F.col("__y") == F.col("__year"))
-    on = on & (F.col("__s") >= F.col("__from")) & (F.col("__s") < F.col("__to"))
-    utc = F.col(local) - F.col("__off").cast("long") * F.lit(1000000)
-    return keyed.join(seg, on, "left").withColumn(out, utc).drop("__s", "__y", "__zone", "__year", "__from", "__to", "__off")
+    keyed = df.withColumn("__z_s", seconds).withColumn("__z_y", _year(F.col("__z_s")))
+    on = (F.col(zone) == F.col("__z_zone")) & (F.col("__z_y") == F.col("__z_year"))
+    on = on & (F.col("__z_s") >= F.col("__z_from")) & (F.col("__z_s") < F.col("__z_to"))
+    utc = F.col(local) - F.col("__z_off").cast("long") * F.lit(1000000)
+    return keyed.join(seg, on, "left").withColumn(out, utc).drop("__z_s", "__z_y", "__z_zone", "__z_year", "__z_from", "__z_to", "__z_off")

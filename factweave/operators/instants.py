@@ -20,7 +20,7 @@ def normalize(df: DataFrame, value: str, out: str, workspace: str | None = None,
     order of dates in figures; rows whose workspace is null or unknown use UTC and ``YMD``.
     An ambiguous wall-clock time means its first occurrence, one that the clocks skipped is
     moved forward by the skipped amount. Null and blank values and words give null. All
-    columns of ``df`` are kept; names beginning with ``__fw_`` are reserved.
+    columns of ``df`` are kept; names beginning with ``__fw_``, ``__ts_`` and ``__z_`` are reserved.
     """
     spark = df.sparkSession
     if workspace is None:
