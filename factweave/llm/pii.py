@@ -28,7 +28,7 @@ FLUSH = 100_000
 
 #: An instance is accepted by the share of its occurrences in confident contexts; a word must
 #: also stand in several different ones, as a label or a role in brackets does not.
-ACCEPTED = "score >= 0.8 and n >= 2 and (kind = 'number' or places >= least(n, 3))"
+ACCEPTED = "score >= 0.8 and n >= 2 and (kind = 'number' or places >= least(n, 2))"
 
 # Titles, which are no part of a name.
 TITLES = set(
@@ -122,22 +122,34 @@ def _texts_with(known: DataFrame, texts: DataFrame) -> tuple[DataFrame, object]:
     if tagged.limit(MAX_LEXICON + 1).count() <= MAX_LEXICON:
         shared = spark.sparkContext.broadcast([r[0] for r in tagged.collect()])
         return texts.withColumn("known", F.lit(None).cast("array<string>")), shared
-    words = texts.select("artifact_id", "content", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}][\p{L}-]+( [\p{L}]+)?"), F.lit(0)))).alias("x"))
-    singles = words.select("artifact_id", "content", F.explode(F.array_union(F.array("x"), F.split("x", " "))).alias("word"))
-    hits = singles.join(known, "word").groupBy("artifact_id", "content").agg(F.collect_set(F.concat_ws(":", "role", "word")).alias("known"))
-    joined = texts.join(hits, ["artifact_id", "content"], "left")
-    return joined.withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), None
+    # Forms of numbers are few, by the form itself, and go to every text; words meet theirs by a join.
+    forms = spark.sparkContext.broadcast([r[0] for r in tagged.where(F.col("w").startswith("N:")).distinct().collect()])
+    said = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}[\p{L}-]*"), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - 1, F.lit(1))), lambda i: F.array_join(F.slice("s", i, F.lit(2)), " "))
+    spoken = texts.where("content is not null").select("artifact_id", "content", said.alias("s")).where("size(s) > 0")
+    words = spoken.select("artifact_id", "content", F.explode(F.array_distinct(F.concat("s", pairs))).alias("word"))
+    hits = words.join(known, "word").groupBy("artifact_id", "content").agg(F.collect_set(F.concat_ws(":", "role", "word")).alias("known"))
+    there = hits.select(F.col("artifact_id").alias("__a"), F.col("content").alias("__c"), "known")
+    joined = texts.join(there, F.col("artifact_id").eqNullSafe(F.col("__a")) & (F.col("content") == F.col("__c")), "left")
+    return joined.select("artifact_id", "content", F.coalesce("known", F.array().cast("array<string>")).alias("known")), _Forms(forms)
+
+
+class _Forms:
+    """Marks that words come with the text, and holds the forms of numbers."""
+
+    def __init__(self, shared):
+        self.forms = shared
 
 
 def _lexicons(batch: pd.DataFrame, shared, kept: dict) -> Iterator[tuple[str, str, dict]]:
     for artifact, text, known in zip(batch["artifact_id"], batch["content"], batch["known"]):
         if text:
-            if shared is not None:
+            if not isinstance(shared, _Forms):
                 if "all" not in kept:
                     kept["all"] = _known(shared.value)
                 yield artifact, text, kept["all"]
             else:
-                yield artifact, text, _known(list(known))
+                yield artifact, text, _known([*known, *shared.forms.value])
 
 
 def evidence(texts: DataFrame, known: DataFrame) -> DataFrame:

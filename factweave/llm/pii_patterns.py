@@ -12,11 +12,11 @@ EMAIL = re.compile(
 )
 PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
-    r"(?:\+|00)[1-9１-９]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,8}){1,4}"
+    r"(?:\+|[0０]{2})[1-9１-９]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,8}){1,4}"
     r"|\+\d{8,15}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}"
     r"|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}"
-    r"|0\d{4} \d{6}|0\d{3} \d{3} \d{4}|0\d(?: \d{2}){4}|0\d{2} \d{4} \d{4}"
+    r"|[0０]\d{4} \d{6}|[0０]\d{3} \d{3} \d{4}|[0０]\d(?: \d{2}){4}|[0０]\d{2} \d{4} \d{4}"
     r")(?![\w-]|[.:]\d)"
 )
 # Words of street addresses in four languages.
