@@ -36,6 +36,8 @@ def corpus():
         f, l, g, m = FIRST[i % 10], LAST[i * 3 % 10], FIRST[(i + 3) % 10], LAST[(i * 7 + 1) % 10]
         text = f"#ops\n{f} {l}: Can {g} {m} look at ENG-1? {g} owns Kazolub Labs now. Was it {f} or {m}, {g} who wrote? Passport 666-{10 + i % 80}-1234 expires. Serial {10**9 + i} came."
         rows.append((f"a{i}", f"{f} {l}", text, (f"{f} {l}", f"U{i}", None), "x"))
+    for i in range(25):
+        rows.append((f"trap{i}", "HelixBot", "#ops\nHelixBot: The Jordan cluster runs. Will the job end?", ("HelixBot", "B1", None), "x"))
     rows.append(("new", "Zoe Bolohonog", "#ops\nZoe Bolohonog: Can Tara Unseenname look at ENG-2? Can Zoe Unseenname look at ENG-3? Was it Zoe or Unseenname, Tara who wrote? Passport X05152497 expires.", ("Zoe Bolohonog", "U1", None), "x"))
     rows.append(("new2", "Zoe Bolohonog", "#ops\nHelixBot: Passport X05152498 expires. The Jordan cluster runs. Will the job end? maya kedakufom said so. id 1234", ("HelixBot", "B1", None), "x"))
     rows += [("none", None, None, None, "x"), ("empty", "", "", (None, None, None), "x"), ("long", None, "word " * 30_000 + "Omar Tovuxaceh", (None, "U3", []), "x"), (None, None, "x", None, "x")]
@@ -57,7 +59,7 @@ def test_bootstrapping(spark):
 
 
 def test_without_broadcast_is_the_same(spark, monkeypatch):
-    df = spark.createDataFrame(corpus()[-12:], SCHEMA)
+    df = spark.createDataFrame(corpus()[-34:], SCHEMA)
     want = {tuple(r) for r in pii.personal_information(df).collect()}
     monkeypatch.setattr(pii, "MAX_LEXICON", 0)
     assert {tuple(r) for r in pii.personal_information(df).collect()} == want
