@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.operators import retrieval as R
+from factweave.plans.lineage import stored
 from factweave.sources.tables import table
 
 POOL, CUT, BUDGET = 10, 5, 1200
@@ -21,7 +22,7 @@ def questions(spark, folder):
 
 def lexical(spark, folder, k=POOL):
     docs = corpus(spark, folder)
-    index = R.postings(docs, "doc_id", "body")
+    index = stored(R.postings(docs, "doc_id", "body"), "postings")  # read three times below
     df, whole = R.statistics(index, docs, "doc_id", "body")
     return R.top(R.bm25(index, df, whole, questions(spark, folder), "doc_id"), "question_id", "doc_id", k)
 
