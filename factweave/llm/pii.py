@@ -358,6 +358,56 @@ def personal_information(artifacts: DataFrame) -> DataFrame:
     return find(artifacts.select(F.col("id").alias("artifact_id"), "content"), known, contexts)
 
 
+# What stands for a finding in the redacted text.
+PLACEHOLDERS = {"person_name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
+
+
+def redacted(artifacts: DataFrame) -> DataFrame:
+    """``artifact_id, content``: every different text with its findings replaced by typed placeholders.
+
+    The rest of a text stays as it is. Of findings that overlap, the first and longest stands.
+    Texts without findings are passed on unchanged, null contents are left out, and a text that
+    was delivered several times comes out once.
+    """
+    known, contexts = learn(artifacts)
+    texts = stored(artifacts.select(F.col("id").alias("artifact_id"), "content").where("content is not null").distinct(), "pii-texts")
+    asked, shared = _texts_with(known, texts)
+
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for batch in batches:
+            rows = [(artifact, text, kind, a, b, c) for artifact, text, lex in _lexicons(batch, shared, kept) for kind, a, b, c in spans_of(text, lex)]
+            yield pd.DataFrame(rows, columns=["artifact_id", "content", "pii_type", "a", "b", "context"])
+
+    spans = asked.mapInPandas(locate, "artifact_id string, content string, pii_type string, a int, b int, context string")
+    spans = spans.withColumn("h", F.sha2("content", 256)).drop("content")
+    kind = F.when(F.col("pii_type") == "id_number", "number").otherwise("name")
+    sure = contexts.select(F.col("kind").alias("__k"), F.col("context").alias("__c"))
+    settled = spans.join(sure, (kind == F.col("__k")) & (F.col("context") == F.col("__c")), "left").where("context is null or __c is not null")
+    per = settled.groupBy("artifact_id", "h").agg(F.array_sort(F.collect_set(F.struct("a", (-F.col("b")).alias("b"), "pii_type"))).alias("spans"))
+    there = per.select(F.col("artifact_id").alias("__a"), F.col("h").alias("__h"), "spans")
+    joined = texts.join(there, F.col("artifact_id").eqNullSafe(F.col("__a")) & (F.sha2("content", 256) == F.col("__h")), "left")
+
+    def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text, found in zip(batch["content"], batch["spans"]):
+                parts, at = [], 0
+                for x in [] if found is None else found:
+                    if x["a"] >= at:
+                        parts += [text[at : x["a"]], PLACEHOLDERS[x["pii_type"]]]
+                        at = -x["b"]
+                out.append("".join(parts) + text[at:])
+            yield pd.DataFrame({"artifact_id": batch["artifact_id"], "content": out})
+
+    return joined.select("artifact_id", "content", "spans").mapInPandas(replace, "artifact_id string, content string").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The contents of all deliveries with placeholders for personal information."""
+    return redacted(table(spark, folder, "artifacts"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Personal information in the contents of all deliveries."""
     return personal_information(table(spark, folder, "artifacts"))

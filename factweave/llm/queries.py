@@ -9,6 +9,7 @@ QUERIES = {
     "p3_found": groups.p3_found,
     "p4_found": names.p4_found,
     "p5_found": pii.p5_found,
+    "p5_redacted": pii.p5_redacted,
     "p8_found": leaks.p8_found,
     "p8_items": leaks.p8_items,
     "p9_shares": mixing.p9_shares,

@@ -67,3 +67,11 @@ def test_without_broadcast_is_the_same(spark, monkeypatch):
 
 def test_empty(spark):
     assert pii.personal_information(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_redacted(spark):
+    rows = [r for r in corpus() if r[0] not in ("long",)]
+    got = {r.artifact_id: r.content for r in pii.redacted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["new2"].startswith("#ops\nHelixBot: Passport [ID] expires. The Jordan cluster runs. Will the job end? [NAME] said so.")
+    assert got["empty"] == "" and "none" not in got and got[None] == "x"
+    assert got["a0"].startswith("#ops\n[NAME]: Can [NAME] look at ENG-1? [NAME] owns Kazolub Labs now.")
