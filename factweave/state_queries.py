@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factweave.operators import claims as C
 from factweave.operators import graph as G
 from factweave.operators import state as S
+from factweave.plans.answers import ClaimGraph
 from factweave.sources.tables import table
 
 DAY = "1998-06-01"
@@ -44,7 +45,22 @@ def probes(spark, folder):
     ).distinct()
 
 
+def answers(spark, folder):
+    """A question about every account: who owns it now, who did on a day, who actually does."""
+    c = table(spark, folder, "customer").select("c_custkey")
+    name = F.concat(F.lit("Account-"), F.col("c_custkey"))
+    text = (
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Who owns "), name, F.lit(" now?")))
+        .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Who maintains "), name, F.lit(f" as of {DAY}?")))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("Who actually owns "), name, F.lit("?")))
+        .otherwise(F.concat(F.lit("Who previously owned "), name, F.lit("?")))
+    )
+    names = c.select(name.alias("mention"), F.concat(F.lit("account:"), F.col("c_custkey")).alias("entity"))
+    return ClaimGraph(C.order_claims(spark, folder), names).answer(c.select(F.col("c_custkey").alias("question_id"), text.alias("question")))
+
+
 QUERIES = {
+    "M10_answers": answers,
     "F01_current_state": over(S.current),
     "D07_as_of": over(S.as_of, DAY),
     "D07_as_of_many": lambda s, d: S.as_of_many(C.order_claims(s, d), probes(s, d)),
@@ -94,7 +110,22 @@ _DISJOINT = (
 )
 _STRICT = 'SELECT object_id, predicate, count(observed_at) = count(*) AND count(DISTINCT observed_at) = count(*) AS "strict" FROM claims GROUP BY 1, 2'
 
+def _one(order: str, where: str, rank: int) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY {order}) AS rn FROM claims WHERE {where}) WHERE rn = {rank})"
+
+
 ORACLES = {
+    "M10_answers": f"""{_W}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS {_one("observed_at DESC, valid_from DESC, claim_id DESC", "true", 1)}, e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
+        st AS (SELECT e.object_id, e.predicate, l.subject_id, CASE WHEN k = 1 OR disjoint OR "strict" THEN 'stands' ELSE 'conflict' END AS state FROM e JOIN d USING (object_id, predicate) JOIN s USING (object_id, predicate) JOIN l USING (object_id, predicate)),
+        n AS {_one("valid_from DESC, claim_id DESC", "valid_to = DATE '9999-12-31'", 1)}, p AS {_one("valid_from DESC, observed_at DESC, claim_id DESC", "true", 2)},
+        t AS {_one("valid_from DESC, claim_id DESC", f"valid_from <= DATE '{DAY}' AND valid_to > DATE '{DAY}'", 1)},
+        q AS (SELECT c_custkey AS question_id, CASE c_custkey % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'as_of' WHEN 2 THEN 'conflict' ELSE 'previous' END AS route, 'account:' || c_custkey AS entity,
+          CASE WHEN c_custkey % 4 = 1 THEN 'MAINTAINS' ELSE 'OWNS' END AS predicate, CASE WHEN c_custkey % 4 = 1 THEN DATE '{DAY}' END AS day FROM customer),
+        a AS (SELECT q.*, CASE route WHEN 'current' THEN n.subject_id WHEN 'as_of' THEN t.subject_id WHEN 'previous' THEN p.subject_id ELSE CASE WHEN st.state = 'stands' THEN st.subject_id END END AS subject_id, st.state FROM q
+          LEFT JOIN n ON n.object_id = entity AND n.predicate = q.predicate LEFT JOIN t ON t.object_id = entity AND t.predicate = q.predicate
+          LEFT JOIN p ON p.object_id = entity AND p.predicate = q.predicate LEFT JOIN st ON st.object_id = entity AND st.predicate = q.predicate)
+        SELECT question_id, route, entity, predicate, day, CASE WHEN subject_id IS NOT NULL THEN 'found' WHEN route = 'conflict' AND state = 'conflict' THEN 'conflict' ELSE 'absent' END AS status, subject_id,
+          CASE WHEN subject_id IS NOT NULL THEN CASE WHEN route IN ('current', 'as_of') THEN 0.96 ELSE 0.9 END END::DOUBLE AS confidence FROM a""",
     "F01_current_state": _top("valid_to = DATE '9999-12-31'", "valid_from DESC, claim_id DESC"),
     "D07_as_of": _top(f"valid_from <= DATE '{DAY}' AND valid_to > DATE '{DAY}'", "valid_from DESC, claim_id DESC"),
     "D07_as_of_many": _W + """, probes AS (SELECT DISTINCT o_orderkey AS probe_id, 'account:' || o_custkey AS object_id,
