@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.plans.lineage import stored
+
 #: Scores are summed as whole millionths, so a sum does not depend on its order.
 UNIT = 1_000_000
 #: Vectors of one block of the dense search.
@@ -52,6 +54,74 @@ def _idf() -> Column:
     return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
+def bm25_top(docs: DataFrame, key: str, text: str, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``question_id, key, score, rank``: the ``k`` best documents of each question, scores as ``bm25``.
+
+    Questions are taken in blocks of at most ``BLOCK``. What a block needs (its tokens' idf and
+    counts) goes to every task, which multiplies document by question matrices and passes on
+    ``k`` rows per question and batch; documents are tokenised once and never shuffled. Parts
+    are whole millionths, so the products are exact.
+    """
+    words = docs.select(key, tokens(F.col(text)).alias("t"))
+    n, total = words.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    if not n or not total:
+        return docs.select(F.lit("").alias("question_id"), key, F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+    df = stored(words.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.lit(n).alias("n")).withColumn("idf", _idf()), "bm25-df")
+    mean = df.agg(F.avg("idf")).first()[0]
+    asked = stored(questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times")), "bm25-asked")
+    blocks = max(1, -(-questions.count() // BLOCK))
+    spark, parts = docs.sparkSession, []
+    for no in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == no).join(df, "token")
+        rows = block.select("question_id", "token", "times", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")).alias("idf")).collect()
+        if rows:
+            shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+            parts.append(words.mapInPandas(_best(shared, key, total / n, k, k1, b), f"question_id string, {key} long, score long"))
+    if not parts:
+        return docs.select(F.lit("").alias("question_id"), key, F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    return top(found, "question_id", key, k)
+
+
+def _best(shared, key: str, mean_len: float, k: int, k1: float, b: float):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = shared.value
+        vocab = {t: i for i, t in enumerate(sorted({r[1] for r in rows}))}
+        names = sorted({r[0] for r in rows})
+        place = {q: i for i, q in enumerate(names)}
+        idf, times = np.zeros(len(vocab)), np.zeros((len(vocab), len(names)))
+        for q, t, c, w in rows:
+            idf[vocab[t]], times[vocab[t], place[q]] = w, c
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                batch = whole.iloc[start : start + 512]
+                tf, lens = np.zeros((len(batch), len(vocab))), np.zeros(len(batch))
+                for row, found in enumerate(batch["t"]):
+                    lens[row] = len(found)
+                    for t in found:
+                        i = vocab.get(t)
+                        if i is not None:
+                            tf[row, i] += 1
+                norm = k1 * (1 - b + b * lens / mean_len)
+                part = np.floor(idf * (tf * (k1 + 1) / (tf + norm[:, None])) * UNIT + 0.5)
+                part[tf == 0] = 0
+                score, shares = (part @ times).astype(np.int64), ((tf > 0) @ (times > 0).astype(float)) > 0
+                ids, out = batch[key].to_numpy(), []
+                for q in range(len(names)):
+                    hit = np.flatnonzero(shares[:, q])
+                    if len(hit) > 8 * k:  # those below the k-th score cannot be among the best
+                        least = np.partition(score[hit, q], len(hit) - k)[len(hit) - k]
+                        hit = hit[score[hit, q] >= least]
+                    best = hit[np.lexsort((ids[hit], -score[hit, q]))[:k]]
+                    out.append((np.full(len(best), q), ids[best], score[best, q]))
+                which, found, scores = (np.concatenate(x) for x in zip(*out))
+                yield pd.DataFrame({"question_id": np.array(names, dtype=object)[which], key: found, "score": scores})
+
+    return search
+
+
 def top(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """The ``k`` best of each ``by`` with their rank from 1; ties go to the smaller key.
 
