@@ -23,4 +23,14 @@ QUERIES: dict[str, Query] = {
     **stream_queries.QUERIES,
 }
 
-ORACLES: dict[str, str] = {**state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES}
+P7_SQL = """
+WITH c AS (SELECT lower(trim(regexp_replace(trim(regexp_replace(object_mention, '\\s+', ' ', 'g')), '^@', ''))) AS object_key, TRY_CAST(left(trim(valid_from), 10) AS DATE) AS f,
+    CASE WHEN trim(coalesce(valid_to, '')) = '' THEN DATE '9999-12-31' ELSE TRY_CAST(left(trim(valid_to), 10) AS DATE) END AS t FROM claims_checkpoint50),
+  m AS (SELECT *, max(t) OVER (PARTITION BY object_key ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM (SELECT DISTINCT * FROM c WHERE f < t)),
+  g AS (SELECT *, sum(CASE WHEN r IS NULL OR f > r THEN 1 ELSE 0 END) OVER (PARTITION BY object_key ORDER BY f, t) AS n FROM m),
+  p AS (SELECT object_key, min(f) AS s, max(t) AS e FROM g GROUP BY object_key, n), l AS (SELECT *, lead(s) OVER (PARTITION BY object_key ORDER BY s) AS nx FROM p)
+SELECT object_key, 'period' AS kind, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day FROM l
+UNION ALL SELECT object_key, 'gap', strftime(e, '%Y-%m-%d'), strftime(nx, '%Y-%m-%d') FROM l WHERE nx IS NOT NULL
+"""
+
+ORACLES: dict[str, str] = {"p7_found": P7_SQL, **state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES}
