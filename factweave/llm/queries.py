@@ -17,4 +17,12 @@ QUERIES = {
     "p10_found": sentences.p10_found,
 }
 
-ORACLES: dict[str, str] = {}
+_KEY = "list_filter({}.external_ids, lambda x: starts_with(x, 'mention:'))[1]"
+_SAME = "upper(trim(label)) IN ('SAME', 'SAME_ENTITY')"
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH RECURSIVE r AS (SELECT {_KEY.format('a')} AS u, {_KEY.format('b')} AS v, {_SAME} AS same FROM phase3_identity_pairs WHERE trim(coalesce(label, '')) <> ''),
+      n AS (SELECT u AS m FROM r UNION SELECT v FROM r), e AS (SELECT u, v FROM r WHERE same UNION SELECT v, u FROM r WHERE same),
+      w AS (SELECT m, m AS o FROM n UNION SELECT w.m, e.v FROM w JOIN e ON w.o = e.u)
+      SELECT m AS mention_id, min(o) AS group_id FROM w GROUP BY m""",
+}
