@@ -28,10 +28,14 @@ UNSEEN = r"[\s\p{Z}\p{Cf}\p{Cc}]"
 
 
 def thread_key(c: Column) -> Column:
-    """``seconds.micros`` of a thread id in any spelling (blanks, ``p`` + 16 digits), else null."""
+    """``seconds.micros`` of a thread id in any spelling, else null.
+
+    Spellings: blanks, ``p`` + 16 digits, zeros missing at the end of the fraction.
+    """
     t = F.regexp_replace(c, rf"{UNSEEN}+", "")
     t = F.regexp_replace(t, r"^[pP](\d{10})(\d{6})$", "$1.$2")
-    return F.when(t.rlike(r"^\d{10}\.\d{6}$"), t)
+    filled = F.concat(F.left(t, F.lit(10)), F.lit("."), F.rpad(F.substring(t, 12, 6), 6, "0"))
+    return F.when(t.rlike(r"^\d{10}(\.\d{0,6})?$"), filled)
 
 
 def user_key(c: Column) -> Column:

@@ -52,6 +52,20 @@ def test_rules(spark):
     assert [g for g in got if g[0] == "ok"] == [("ok", 1, "a-ok-0", "starter"), ("ok", 2, "a-ok-1", "replier"), ("ok", 3, "a-ok-2", "replier")]
 
 
+def test_thread_without_closing_zeros(spark):
+    root = "1740000000.194700"
+    rows = [row(i, "short", t, f"U{i}", replies=3 if i == 0 else 0, message=root if i == 0 else None) for i, t in enumerate([root, "1740000000.1947", " 1740000000.1947 ", "1740000000.19470"])]
+    assert [g[1:] for g in kept(spark, rows)] == [(1, "a-short-0", "starter"), (2, "a-short-1", "replier"), (3, "a-short-2", "replier"), (4, "a-short-3", "replier")]
+
+
+@pytest.mark.parametrize("thread,key", [
+    ("1740000000.1947", "1740000000.194700"), ("1740000000.1", "1740000000.100000"), ("1740000000", T), ("1740000000.", T), ("p1740000000194700", "1740000000.194700"),
+    ("1740000000.1947001", None), ("174000000.1947", None), ("p17400000001947", None), ("x", None), ("", None), (None, None),
+])
+def test_thread_key(spark, thread, key):
+    assert spark.createDataFrame([(thread,)], "t string").select(C.thread_key(F.col("t"))).first()[0] == key
+
+
 def test_long_conversation_is_numbered_whole(spark):
     n = 3000
     rows = [row(0, "big", T, replies=n)] + [(f"a{i}", "slack", "1740000000", "#c\nX: y", (f"{1740000000 + i * 60}.000100", "big", T, None, f"U{i % 7}", "X", 0), "") for i in range(1, n + 1)]
