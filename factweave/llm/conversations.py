@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import timestamps
+from factweave.functions.text import UNSEEN, thread_key
 from factweave.plans import sharded
 from factweave.plans.lineage import shared_dir
 from factweave.plans.small import bounded
@@ -23,20 +24,6 @@ MESSAGE = (
     " author string, readable boolean, body boolean, reply_count int"
 )
 
-# Characters that show nothing, besides white space.
-UNSEEN = r"[\s\p{Z}\p{Cf}\p{Cc}]"
-
-
-def thread_key(c: Column) -> Column:
-    """``seconds.micros`` of a thread id in any spelling, else null.
-
-    Spellings: blanks, ``p`` + 16 digits, zeros missing at the end of the fraction.
-    """
-    t = F.regexp_replace(c, rf"{UNSEEN}+", "")
-    t = F.regexp_replace(t, r"^[pP](\d{10})(\d{6})$", "$1.$2")
-    filled = F.concat(F.left(t, F.lit(10)), F.lit("."), F.rpad(F.substring(t, 12, 6), 6, "0"))
-    return F.when(t.rlike(r"^\d{10}(\.\d{0,6})?$"), filled)
-
 
 def user_key(c: Column) -> Column:
     """User id without case, blanks and ``<@>``; null when nothing is left."""

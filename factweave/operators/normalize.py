@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions.text import UNSEEN
+
 # Lines after which a mail only quotes.
 QUOTE_MARKS = r"(?m)^(?:>.*|On .{5,80} wrote:.*|-{2,} ?Original Message ?-{2,}.*|From: .*)$"
 
@@ -70,6 +72,19 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def chat_body(content: Column, *speakers: Column) -> Column:
+    """All that follows the channel line and the speaker's ``name:``, null if nothing of it is visible.
+
+    A label that is none of the ``speakers`` is text and stays.
+    """
+    text = F.ltrim(F.regexp_replace(F.regexp_replace(content, r"^\s*#[^\n]*", ""), r"^\s+", ""))
+    body = text
+    for name in reversed(speakers):
+        label = F.concat(F.trim(name), F.lit(":"))
+        body = F.when(text.startswith(label), F.substring(text, F.length(label) + 1, F.lit(2147483647))).otherwise(body)
+    return F.when(F.regexp_replace(body, rf"{UNSEEN}+", "") != "", F.regexp_replace(body, r"^\s+|\s+$", ""))
+
+
 def thread_text(rows: DataFrame, keys: list[str], order: str, author: str, body: str) -> DataFrame:
     """``keys, text``: the messages of a thread as lines ``author: body`` in time order, blank ones left out.
 

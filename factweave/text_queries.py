@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave.functions.text import mention_key
+from factweave.functions.text import mention_key, thread_key
 from factweave.operators import claims as C
 from factweave.operators import extract as X
 from factweave.operators import inventory as V
@@ -76,6 +76,17 @@ def html_text(spark, folder):
     return documents(spark, folder).select("doc_id", N.strip_html(page).alias("text"))
 
 
+def threads(spark, folder):
+    """Threads as text; a thread id of an unknown form stands for itself, a blank one for no thread."""
+    m = F.col("metadata")
+    thread = F.coalesce(thread_key(m["thread_id"]), F.nullif(F.trim(m["thread_id"]), F.lit("")))
+    rows = artifacts(spark, folder).where("source = 'slack'").select(
+        m["channel_id"].alias("channel_id"), thread.alias("thread_id"), m["message_id"].alias("message_id"), "author",
+        N.chat_body(F.col("content"), m["author_display_name"], F.col("author")).alias("body"),
+    )
+    return N.thread_text(rows.where("thread_id is not null").distinct(), ["channel_id", "thread_id"], "message_id", "author", "body")
+
+
 def statuses(spark, folder):
     """Latest status of an event stream keyed by user: the last row wins, earlier ones are attempts."""
     e = table(spark, folder, "events")
@@ -91,7 +102,7 @@ QUERIES = {
     "B11_slack_times": lambda s, d: chats(s, d).select("message_id").distinct().select("message_id", N.slack_time(F.col("message_id")).alias("at")),
     "B12_mentions": lambda s, d: artifacts(s, d).select("id", F.array_join(N.mentions(F.array_join("metadata.mentions", " and ")), ",").alias("mentions")).where("mentions <> ''").distinct(),
     "B12_links": lambda s, d: documents(s, d).select("doc_id", F.array_join(N.links(F.col("text")), ",").alias("links")).where("links <> ''"),
-    "B13_thread_text": lambda s, d: N.thread_text(artifacts(s, d).where("source = 'slack'").select(F.col("metadata.channel_id").alias("channel_id"), F.col("metadata.thread_id").alias("thread_id"), F.col("metadata.message_id").alias("message_id"), "author", F.split_part("content", F.lit("\n"), F.lit(2)).alias("body")).where("thread_id is not null").distinct(), ["channel_id", "thread_id"], "message_id", "author", "body"),
+    "B13_thread_text": threads,
     "B18_quoted_history": quoted,
     "B22_html_text": html_text,
     "C01_claim_problems": lambda s, d: C.problems(claims(s, d)).select("claim_id", F.array_join("problems", ",").alias("problems")).groupBy("claim_id", "problems").agg(F.count(F.lit(1)).alias("rows")),
