@@ -36,8 +36,9 @@ def sweep(spark, folder):
 def records(spark, folder):
     p = pairs(spark, folder)
     key = lambda s: F.try_element_at(F.filter(F.col(f"{s}.external_ids"), lambda x: x.startswith("mention:")), F.lit(1))
-    rows = p.select(F.explode(F.array(*[F.struct(key(s).alias("key"), F.col(f"{s}.mention").alias("mention"), F.col(f"{s}.emails").alias("emails")) for s in "ab"])).alias("r")).select("r.*")
-    return rows.groupBy("key").agg(F.min("mention").alias("mention"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("emails", F.array().cast("array<string>"))))).alias("emails"))
+    rows = p.select(F.explode(F.array(*[F.struct(key(s).alias("key"), F.col(f"{s}.mention").alias("mention"), F.col(f"{s}.type").alias("type"), F.col(f"{s}.emails").alias("emails"), F.col(f"{s}.external_ids").alias("external_ids")) for s in "ab"])).alias("r")).select("r.*")
+    both = lambda c: F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))).alias(c)
+    return rows.groupBy("key").agg(F.min("mention").alias("mention"), F.min("type").alias("type"), both("emails"), both("external_ids"))
 
 
 def clustered(spark, folder):

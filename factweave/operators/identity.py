@@ -22,6 +22,8 @@ EMAIL = r"^[^@\s]+@[^@\s]+$"
 # Scores of the ladder, thresholds of the decision.
 EMAIL_SCORE, EMAIL_USER_SCORE, ID_SCORE, USER_SCORE, FULL_SCORE, TOKENS_SCORE, TOKEN_SCORE = 0.97, 0.92, 0.90, 0.88, 0.85, 0.80, 0.55
 MERGE, REVIEW = 0.90, 0.50
+#: Records of one blocking key that are held against each other in one place.
+BLOCK = 500
 
 
 def _sorted_set(a: Column) -> Column:
@@ -167,25 +169,49 @@ def evaluated(pairs: DataFrame) -> DataFrame:
 
 
 def blocked(records: DataFrame) -> DataFrame:
-    """``key_a, key_b, shared_keys``: candidate pairs of ``records(key, mention, emails)`` with a key in common.
+    """``key_a, key_b, shared_keys``: candidate pairs of ``records`` with a key in common (see ``blocking_keys``).
 
-    Keys are full name, last token with initial, local part and address. Equal key lists are
-    first reduced to one representative record, so exact copies are not spread into pairs; the
-    pairs stand between representatives (see ``representatives`` for the membership).
+    Equal key lists are first reduced to one representative record, so exact copies are not
+    spread into pairs; the pairs stand between representatives (see ``representatives`` for the
+    membership). The records of a key are dealt into blocks of about ``BLOCK`` and every two
+    blocks meet on their own, so a name that many bear ends in no single task. A pair is taken
+    at the least of the keys it shares, so pairs are neither repeated nor shuffled.
     """
-    reps = representatives(records).select("rep", "keys").dropDuplicates(["rep"])
-    keyed = reps.select("rep", F.explode("keys").alias("k"))
-    other = keyed.select(F.col("rep").alias("key_b"), F.col("k").alias("k2"))
-    met = keyed.join(other, (F.col("k") == F.col("k2")) & (F.col("rep") < F.col("key_b")))
-    return met.groupBy(F.col("rep").alias("key_a"), "key_b").agg(F.count(F.lit(1)).alias("shared_keys"))
+    reps = representatives(records).dropDuplicates(["rep"]).select("rep", F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"))
+    keyed = cut(reps).select("rep", "keys", F.explode("keys").alias("k"))
+    often = keyed.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = keyed.join(often.where("blocks > 1"), "k", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("k", own.alias("i"), every.alias("j"), F.col("rep").alias("key_a"), F.col("keys").alias("keys_a"))
+    right = dealt.select("k", every.alias("i"), own.alias("j"), F.col("rep").alias("key_b"), F.col("keys").alias("keys_b"))
+    met = left.join(right, ["k", "i", "j"]).where("key_a < key_b").withColumn("shared", F.array_intersect("keys_a", "keys_b"))
+    return met.where(F.col("k") == F.array_min("shared")).select("key_a", "key_b", F.size("shared").cast("long").alias("shared_keys"))
+
+
+def blocking_keys() -> Column:
+    """Keys of ``records(mention, type, emails, external_ids)``: everything that two records of one entity may share.
+
+    Address, local part, user name and its base, external id (not that of the mention, which is
+    the record), each name token, the full name, and the form without dots in which a local
+    part meets a user name. A mention that is an address counts as one; role mailboxes do not.
+    """
+    none = F.array().cast("array<string>")
+    low = lambda c: F.transform(F.coalesce(c, none), lambda x: F.lower(F.trim(x)))
+    boxes = F.filter(low(F.concat(F.coalesce("emails", none), F.array("mention"))), lambda e: e.rlike(EMAIL) & ~is_role(e))
+    locals_ = F.transform(boxes, local_part)
+    user = F.lower(F.regexp_replace(F.trim("mention"), "^@", ""))
+    users = F.when(F.lower("type") == "username", F.array(user)).otherwise(none)
+    ids = F.filter(low(F.col("external_ids")), lambda x: (x != "") & ~x.startswith("mention:"))
+    t = name_tokens(F.col("mention"))
+    names = F.when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(none)
+    bases = F.filter(F.transform(users, _base), lambda u: u != "")
+    kinds = {"e": boxes, "l": locals_, "u": users, "b": bases, "x": ids, "t": t, "n": names, "c": F.concat(_undotted(locals_), _undotted(users), bases)}
+    return _sorted_set(F.concat(*[F.transform(c, lambda x, p=p: F.concat(F.lit(f"{p}:"), x)) for p, c in kinds.items()]))
 
 
 def representatives(records: DataFrame) -> DataFrame:
     """``key, rep, keys``: every record with the smallest record that has the same blocking keys."""
-    t = name_tokens(F.col("mention"))
-    boxes = F.filter(F.transform(F.coalesce("emails", F.array().cast("array<string>")), lambda e: F.lower(F.trim(e))), lambda e: e.rlike(EMAIL) & ~is_role(e))
-    names = F.when(F.size(t) > 0, F.array(F.concat(F.lit("n:"), F.array_join(t, " ")))).otherwise(F.array().cast("array<string>"))
-    keyed = records.select("key", t.alias("t"), _sorted_set(F.concat(names, F.transform(boxes, lambda e: F.concat(F.lit("e:"), e)))).alias("keys"))
+    keyed = records.select("key", blocking_keys().alias("keys"))
     rep = keyed.groupBy("keys").agg(F.min("key").alias("rep"))
     return keyed.join(rep, "keys").select("key", "rep", "keys")
 
