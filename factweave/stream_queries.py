@@ -19,7 +19,7 @@ def dedup(spark, folder):
 
 
 def parked(spark, folder):
-    """Events without a positive value fail; what three batches in a row could not take is parked."""
+    """Events whose value is not above 10 fail; what three attempts could not take is parked."""
     log, left = G.ingested(G.replay(G.events(spark, folder), 4, "event_id"), lambda rows: rows.withColumn("good", F.col("value") > 10), "good")
     return log.select("event_id", F.lit("log").alias("where_")).unionByName(left.select("event_id", F.lit("parked").alias("where_")))
 

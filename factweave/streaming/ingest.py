@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from factweave.plans.lineage import cut, shared_dir, stored
 from factweave.sources.tables import table
@@ -76,24 +77,35 @@ def ingested(stream: DataFrame, make: Callable[[DataFrame], DataFrame], ok: str)
     """The log of all rows that ``make`` turned out well (``ok`` holds), and the parked others.
 
     A row that fails is tried again with each of the next batches, ``MAX_ATTEMPTS`` times in
-    all, then parked with its number of attempts.
+    all, then parked with its number of attempts. When the input has ended, what still waits is
+    tried again by itself, so every row ends in one of the two.
     """
     spark = stream.sparkSession
     at = shared_dir(spark, "ingest")
+    names = [*stream.columns, "__attempts"]
+    batches = []
 
-    def each(batch: DataFrame, no: int) -> None:
-        session = batch.sparkSession
-        rows = batch.withColumn("__attempts", F.lit(0))
-        if no > 0:
-            rows = rows.unionByName(session.read.schema(rows.schema).parquet(f"{at}/retry/{no - 1}"))
+    def waiting(session: SparkSession, no: int) -> DataFrame:
+        return session.read.schema(StructType([*stream.schema.fields, StructField("__attempts", IntegerType())])).parquet(f"{at}/retry/{no}")
+
+    def attempt(rows: DataFrame, no: int) -> None:
         tried = cut(make(rows).withColumn("__attempts", F.col("__attempts") + 1))
         good = F.coalesce(F.expr(ok), F.lit(False))
         tried.where(good).write.mode("overwrite").parquet(f"{at}/log/{no}")
         again = tried.where(~good & (F.col("__attempts") < MAX_ATTEMPTS))
-        again.select(*[c for c in rows.columns]).write.mode("overwrite").parquet(f"{at}/retry/{no}")
+        again.select(*names).write.mode("overwrite").parquet(f"{at}/retry/{no}")
         tried.where(~good & (F.col("__attempts") >= MAX_ATTEMPTS)).write.mode("overwrite").parquet(f"{at}/parked/{no}")
 
+    def each(batch: DataFrame, no: int) -> None:
+        rows = batch.withColumn("__attempts", F.lit(0))
+        attempt(rows.unionByName(waiting(batch.sparkSession, no - 1)) if no > 0 else rows, no)
+        batches.append(no)
+
     run(stream, each, at)
+    last = max(batches, default=None)
+    while last is not None and not (rest := waiting(spark, last)).isEmpty():
+        last += 1
+        attempt(rest, last)
     read = spark.read.option("recursiveFileLookup", "true")
     return read.parquet(f"{at}/log"), read.parquet(f"{at}/parked")
 

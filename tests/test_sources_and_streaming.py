@@ -67,3 +67,11 @@ def test_retry_and_park(spark):
     log, parked = ingest.ingested(ingest.replay(df, 4, "id"), lambda r: r.withColumn("good", (F.col("v") % 2 == 0) | ((F.col("v") == 1) & (F.col("__attempts") == 2))), "good")
     assert sorted(r.id for r in log.collect()) == [0, 1, 2, 4, 6, 8, 10]
     assert all(r["__attempts"] == 3 for r in parked.collect()) and shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_every_row_is_logged_or_parked(spark):
+    df = spark.range(12).withColumn("v", F.col("id"))
+    good = (F.col("v") % 2 == 0) | ((F.col("v") == 11) & (F.col("__attempts") == 2)) | ((F.col("v") == 7) & (F.col("__attempts") == 1))
+    log, parked = ingest.ingested(ingest.replay(df, 4, "id"), lambda r: r.withColumn("good", good), "good")
+    assert sorted((r.id, r["__attempts"]) for r in log.collect()) == [(0, 1), (2, 1), (4, 1), (6, 1), (7, 2), (8, 1), (10, 1), (11, 3)]
+    assert sorted((r.id, r["__attempts"]) for r in parked.collect()) == [(1, 3), (3, 3), (5, 3), (9, 3)]
