@@ -81,22 +81,21 @@ def _forms(text: str, towns: set[str] | None) -> tuple[list[tuple[str, int, int]
     found: list[tuple[str, int, int]] = []
     town_words: list[tuple[str, str]] = []
     low = text.lower()
-    if "@" in text or "at)" in low or "at]" in low:
+    if "@" in text or "at)" in low or "at]" in low or "at}" in low:
         found += [("email", *m.span()) for m in P.EMAIL.finditer(text)]
     found += [("phone", *m.span()) for m in P.PHONE.finditer(text)]
-    if P.ADDRESS_HINT.search(text):
-        for m in P.ADDRESS.finditer(text):
-            start, end = m.span()
-            for group in ("town1", "town2", "town3", "town4", "town5"):
-                town = m.group(group)
-                if town:
-                    one, _, two = town.partition(" ")
-                    town_words.append((one.lower(), two.lower()))
-                    if two and towns is not None and town.lower() not in towns and m.end(group) == end:
-                        end = m.start(group) + len(one)
-                    elif two and towns is not None and town.lower() not in towns:
-                        end = m.start(group) + len(one)
-            found.append(("address", start, end))
+    for m in P.ADDRESS.finditer(text):
+        start, end = m.span()
+        for group in ("town1", "town2", "town3", "town4", "town5"):
+            town = m.group(group)
+            if town:
+                one, _, two = town.partition(" ")
+                town_words.append((one.lower(), two.lower()))
+                if two and towns is not None and town.lower() not in towns and m.end(group) == end:
+                    end = m.start(group) + len(one)
+                elif two and towns is not None and town.lower() not in towns:
+                    end = m.start(group) + len(one)
+        found.append(("address", start, end))
     return found, [(a, b) for _, a, b in found], town_words
 
 

@@ -46,7 +46,6 @@ ADDRESS = re.compile(
     rf"|{_ES}\s+(?:(?:de|del|los|las|la|el)\s+)*[A-ZÀ-Þ]\w+(?:\s+[A-ZÀ-Þ]\w+)?,\s+\d{{1,4}}(?!\d)(?:,\s+(?:\d{{5}}\s+)?{_town(5)})?"
     r")"
 )
-ADDRESS_HINT = re.compile(rf"\d[A-Za-z]?,? {_FR} |{_ES} |(?:gasse|weg|straße|strasse|platz|allee|ring|damm|ufer) \d|(?:Am|An|Im|In|Auf|Zum|Zur|Unter) [A-Z]\w+ ?\w* \d|\d[A-Z]?,?\s+[A-Z][\w' ’]+{_EN}", re.S)
 
 # ---------------------------------------------------------------- candidates decided by context
 NUMBER = re.compile(r"(?<![\w.#/+-])(?:[A-Z]{1,2} ?)?\d(?:[ -]?\d){5,14}(?: ?[A-Z])?(?![\w-]|[.:/]\d)")

@@ -18,6 +18,15 @@ def test_forms(text, found):
     assert [(k, text[a:b]) for k, a, b in pii._forms(text, set())[0]] == found
 
 
+@pytest.mark.parametrize("kind,text", [
+    ("address", "221b Baker Street"), ("address", "Flat 2, 7, Old Mill Hill, Lindfurt 10476"), ("address", "9  Quarry\nRoad"), ("address", "12 bis rue de la Paix"), ("address", "12ter, place d'Armes, 13534 Villaserna"),
+    ("address", "Hauptstr. 5"), ("address", "Marktsteig 3"), ("address", "Lindenhof 12a"), ("address", "Fischmarkt  8"), ("address", "An der Brücke 5, 10115 Berlin"), ("address", "Hinter Sankt Peter 5 b, Unit 3, 10115 Berlin"),
+    ("address", "Plaza\nMayor, 3"), ("email", "a.b {at} x {dot} test"), ("email", "a.b{AT}x.test"),
+])
+def test_gates_let_every_form_through(kind, text):
+    assert [(k, f"see {text}"[a:b]) for k, a, b in pii._forms(f"see {text}", set())[0]] == [(kind, text)]
+
+
 def test_shape():
     assert P.shape("QQ 12-3 A") == "AA 99-9 A"
 
