@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+_PATH = "_factweave_path"
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, below the shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (or the directory already set on the
-    context). Only where neither is set, as in local tests, a temporary folder is used.
+def shared_root(spark: SparkSession) -> str:
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else the one set on the context.
+
+    A session with a local master has only this machine and may do without; it then gets a
+    temporary folder. On a cluster that would be a folder of one machine, so it raises.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,9 +22,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="factweave-")
         sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, below the shared checkpoint folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,4 +49,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    setattr(back, _PATH, path)
+    return back
+
+
+def measured(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """``stored``, with aggregates over the rows taken while they are written: no second job."""
+    seen = Observation()
+    back = stored(df.observe(seen, *[c.alias(k) for k, c in values.items()]), name)
+    return back, seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``tables``, which nothing may read from then on."""
+    for df in tables:
+        path = getattr(df, _PATH, None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
