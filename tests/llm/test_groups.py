@@ -58,3 +58,30 @@ def test_labels_and_keys(spark):
     assert [g[0] for g in got] == [True, True, False, None, False, True, False]
     assert [g[1] for g in got] == [True, True, True, False, False, True, True]
     assert [g[2] for g in got] == ["mention:0123456789abcdef"] + [None] * 6
+
+
+def test_forest_of_one_task():
+    import numpy as np
+
+    rng = random.Random(4)
+    for n in (1, 2, 9, 60):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        u, v = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
+        root = groups.forest(u, v)
+        want = brute([f"{i:03d}" for i in range(int(max(u.max(), v.max())) + 1)], [(f"{a:03d}", f"{b:03d}") for a, b in pairs])
+        assert [f"{r:03d}" for r in root] == [want[f"{i:03d}"] for i in range(len(root))]
+    assert len(groups.forest(np.array([], dtype=int), np.array([], dtype=int))) == 0
+
+
+def test_chunks_of_a_task_change_nothing(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(groups, "CHUNK", 2)
+    parts = [pd.DataFrame({"u": [f"n{i}"], "v": [f"n{i + 1}"]}) for i in range(7)]
+    out = pd.concat(groups._stars(iter(parts)))
+    assert brute([], list(out.itertuples(index=False, name=None))).keys() == {f"n{i}" for i in range(8)}
+
+
+def test_one_giant_group(spark):
+    edges = [(f"x{i // 2:05d}", f"x{i:05d}") for i in range(1, 4000)] + [(f"y{i}", f"y{i + 1}") for i in range(0, 60, 2)]
+    assert run(spark, [], edges) == brute([], edges)
