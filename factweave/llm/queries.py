@@ -8,6 +8,7 @@ QUERIES = {
     "p2_found": conversations.p2_found,
     "p3_found": groups.p3_found,
     "p4_found": names.p4_found,
+    "p4_members": names.p4_members,
     "p5_found": pii.p5_found,
     "p5_redacted": pii.p5_redacted,
     "p8_found": leaks.p8_found,

@@ -22,13 +22,52 @@ def test_metric_join_is_exact(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(160)]
     words = sorted({*base, "x" * 300, "x" * 299, "é", "日本語"})
-    df = spark.createDataFrame([(w,) for w in words + words[:9]] + [(None,), ("",)], "s string")
-    for pivots in (1, 7, 512):
-        got = {tuple(r) for r in names.within(df, 2, pivots).collect()}
-        assert got == {(a, b) for a in words for b in words if a < b and levenshtein(a, b) <= 2}
+    other = words[::3]
+    df = spark.createDataFrame([("l", w, 1) for w in words] + [("o", w, 1) for w in other], "kind string, s string, ring int")
+    want = [(k, a, b) for k, ws in (("l", words), ("o", other)) for a in ws for b in ws if a < b and levenshtein(a, b) <= 2]
+    for pivots in (1, 7, 512, None):
+        assert sorted(tuple(r) for r in names.within(df, 2, pivots).collect()) == sorted(want)  # each pair once
     assert names.within(df.limit(0)).count() == 0
 
 
+def test_distances_of_a_batch():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcé日") for _ in range(rng.randrange(1, 12))) for _ in range(60)] + ["z" * 500]
+    got = names.distances(words, words[:9] + [""])
+    assert got.tolist() == [[levenshtein(a, b) for b in words[:9] + [""]] for a in words]
+
+
+def test_slip_of_a_slip_of_a_slip(spark):
+    chain = [("l", "abcdefgh", 50), ("l", "abcdefgx", 10), ("l", "abcdefyx", 3), ("l", "abcdezyx", 1), ("l", "abcdezyz", 1), ("o", "abcdezyz", 1)]
+    rare = [("f", "maria", 40), ("f", "maira", 1), ("f", "mario", 30), ("f", "marib", 3)]
+    df = spark.createDataFrame(chain + rare, "kind string, s string, n long")
+    got = {(r.kind, r.s): r.canon for r in names.canonical(df).collect()}
+    assert {got["l", s] for _, s, _ in chain[:5]} == {"abcdefgh"} and got["o", "abcdezyz"] == "abcdezyz"
+    assert got["f", "maira"] == "maria" and got["f", "mario"] == "mario" and got["f", "marib"] == "marib"
+
+
+def test_abbreviations_are_all_met(spark):
+    rng = random.Random(2)
+    shorts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(80)]
+    longs = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 10))) for _ in range(80)]
+
+    def stands(a, b):
+        it = iter(b)
+        return len(a) < len(b) and (b.startswith(a) or (a[0] == b[0] and a[-1] == b[-1] and all(c in it for c in a)))
+
+    got = names.abbreviations(spark.createDataFrame([(x,) for x in shorts], "short string"), spark.createDataFrame([(x,) for x in longs], "long string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(a, b) for a in shorts for b in longs if stands(a, b)})
+    assert len(names.long_keys("x" * 100_000)) < 20
+
+
+def test_pairs_of_large_entities(spark):
+    rows = [(f"k{i:03d}", "big") for i in range(50)] + [("a", "two"), ("b", "two"), ("c", "one")]
+    members = spark.createDataFrame(rows, "key string, entity string")
+    want = sorted((a, b) for a, e in rows for b, f in rows if e == f and a < b)
+    for block in (3, 10, 2048):
+        assert sorted(tuple(r) for r in names.pairs_of(members, block).collect()) == want
+
+
 @pytest.mark.parametrize("a,b,d", [("abc", "abc", 0), ("abc", "acb", 1), ("ca", "abc", 2), ("", "ab", 2), ("kitten", "sitting", 3)])
 def test_damerau(a, b, d):
     assert N.damerau(a, b) == N.damerau(b, a) == d
