@@ -6,20 +6,29 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.plans.small import collected
+from factweave.plans.lineage import measured
 from factweave.sources.tables import table
 
 #: Consecutive words that make a leak.
 RUN = 10
-#: Most words of a passage; passages overlap so that each run lies whole in one of them.
-PASSAGE = 2 * RUN
-#: Test items of one index. More are searched in several blocks, each against all documents.
-ITEMS_PER_INDEX = 50_000
+#: Words of a term of the index. Single words are too common to tell test items apart.
+TERM = 3
+#: Consecutive terms that make a leak.
+STEPS = RUN - TERM + 1
+#: Most terms of a passage; passages overlap so that each run lies whole in one of them.
+PASSAGE = 2 * STEPS
+#: Test texts of one index and passages that one task asks; more of either make more tasks.
+TEXTS_PER_INDEX = 50_000
+PASSAGES_PER_TASK = 20_000
+#: Bits of the filter of terms for each letter of the test items, and at most (128 MB).
+BITS_PER_LETTER, MOST_BITS = 4, 2**30
 #: Postings of one block of the index.
 BLOCK = 64
 K1, B = 1.2, 0.75
@@ -32,19 +41,25 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def terms(w: list[str]) -> list[str]:
+    """The overlapping terms of a list of words, in order."""
+    return [" ".join(w[i : i + TERM]) for i in range(len(w) - TERM + 1)]
+
+
 class WandIndex:
     """Inverted BM25 index of test texts, with thresholds that lose nothing.
 
-    The weight of a term in a test text does not depend on the passage that asks, so a passage
-    that holds a run of ``RUN`` words of the text scores at least the smallest sum of weights
-    over the distinct words of any such run. That minimum is the text's threshold; weights are
-    divided by it, and a search returns every text with a score of 1 or more.
+    Texts are lists of words, terms are ``TERM`` words in a row. The weight of a term in a test
+    text does not depend on the passage that asks, so a passage that holds a run of ``STEPS``
+    terms of the text scores at least the smallest sum of weights over the distinct terms of
+    any such run. That minimum is the text's threshold; weights are divided by it, and a search
+    returns every text with a score of 1 or more.
     """
 
     def __init__(self, texts: list[tuple[str, list[str]]]):
-        texts = [(k, w) for k, w in texts if len(w) >= RUN]
+        texts = [(k, terms(w)) for k, w in texts if len(w) >= RUN]
         self.keys = [k for k, _ in texts]
-        self.runs = [{" ".join(w[i : i + RUN]) for i in range(len(w) - RUN + 1)} for _, w in texts]
+        self.runs = [{tuple(w[i : i + STEPS]) for i in range(len(w) - STEPS + 1)} for _, w in texts]
         n, mean = len(texts), sum(len(w) for _, w in texts) / max(1, len(texts))
         df = Counter(t for _, w in texts for t in set(w))
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
@@ -52,7 +67,7 @@ class WandIndex:
         for no, (_, w) in enumerate(texts):
             norm = K1 * (1 - B + B * len(w) / mean)
             weight = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(w).items()}
-            least = min(sum(weight[t] for t in set(w[i : i + RUN])) for i in range(len(w) - RUN + 1))
+            least = min(sum(weight[t] for t in set(w[i : i + STEPS])) for i in range(len(w) - STEPS + 1))
             for t, x in weight.items():
                 postings.setdefault(t, []).append((no, x / least + 1e-9))
         self.docs = {t: [no for no, _ in p] for t, p in postings.items()}
@@ -120,84 +135,150 @@ class WandIndex:
         c[1], c[0] = i, docs[i] if i < len(docs) else end
 
     def stretches(self, w: list[str]) -> Iterator[list[str]]:
-        """Longest stretches of words that the index knows: no run goes beyond one."""
+        """Longest stretches of terms that the index knows: no run goes beyond one."""
         known, start = self.most, 0
         for i, t in enumerate(w):
             if t not in known:
-                if i - start >= RUN:
+                if i - start >= STEPS:
                     yield w[start:i]
                 start = i + 1
-        if len(w) - start >= RUN:
+        if len(w) - start >= STEPS:
             yield w[start:]
 
     def passages(self, w: list[str]) -> Iterator[list[str]]:
-        """Passages of at most ``PASSAGE`` words in which a run may lie.
+        """Passages of at most ``PASSAGE`` terms in which a run may lie.
 
-        A run scores at most the sum of its words' bounds, so only places from which ``RUN``
-        words sum up to a threshold can begin one.
+        A run scores at most the sum of its terms' bounds, so only places from which ``STEPS``
+        terms sum up to a threshold can begin one.
         """
         bound = [self.most[t] for t in w]
-        total = sum(bound[:RUN])
+        total = sum(bound[:STEPS])
         first = None
-        for i in range(len(w) - RUN + 1):
+        for i in range(len(w) - STEPS + 1):
             if i:
-                total += bound[i + RUN - 1] - bound[i - 1]
+                total += bound[i + STEPS - 1] - bound[i - 1]
             if total >= 1:
                 if first is None:
                     first = i
-                elif i - first > RUN:
-                    yield w[first : i + RUN - 1]
+                elif i - first > STEPS:
+                    yield w[first : i + STEPS - 1]
                     first = i
             elif first is not None:
-                yield w[first : i + RUN - 1]
+                yield w[first : i + STEPS - 1]
                 first = None
         if first is not None:
             yield w[first:]
 
-    def leaked(self, text: str | None) -> set[str]:
-        """Keys of the texts of which ``text`` holds a run, verified word by word."""
+    def leaked(self, w: list[str]) -> set[str]:
+        """Keys of the texts of which the words ``w`` hold a run, verified word by word."""
         out: set[str] = set()
-        for w in self.stretches(words(text)):
-            for passage in self.passages(w):
+        for stretch in self.stretches(terms(w)):
+            for passage in self.passages(stretch):
                 hits = [no for no in self.search(passage) if self.keys[no] not in out]
                 if hits:
-                    grams = [" ".join(passage[i : i + RUN]) for i in range(len(passage) - RUN + 1)]
+                    grams = [tuple(passage[i : i + STEPS]) for i in range(len(passage) - STEPS + 1)]
                     out.update(self.keys[no] for no in hits if any(g in self.runs[no] for g in grams))
         return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
+# ---------------------------------------------------------------- the filter of terms
+class Words:
+    """The words of many texts in one array, with a number for the term that begins at each."""
+
+    def __init__(self, texts):
+        each = [words(t) for t in texts]
+        self.flat = list(chain.from_iterable(each))
+        self.ends = np.cumsum([len(w) for w in each], dtype=np.int64)
+        n = len(self.flat)
+        self.inside = np.zeros(n, dtype=bool)
+        self.hash = np.zeros(n, dtype=np.uint64)
+        if n >= TERM:
+            one = pd.util.hash_array(np.array(self.flat, dtype=object))
+            for i in range(TERM):
+                self.hash[: n - TERM + 1] = (self.hash[: n - TERM + 1] + one[i : n - TERM + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            # A term may not reach beyond its text.
+            last = np.repeat(self.ends, [len(w) for w in each])
+            self.inside = np.arange(n) + TERM <= last
+
+    def slots(self, bits: int) -> np.ndarray:
+        """Place of every term in a filter of ``2 ** bits`` bits."""
+        return (self.hash >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def known_terms(texts: DataFrame, letters: int) -> tuple[int, np.ndarray]:
+    """``bits`` and the filter (a bit a term, as bytes) of the terms of ``texts(text)``.
+
+    Tasks set bits, Spark unites them by words of 64; the driver gets the filter, whose size
+    is bounded. A filter that fills up lets more pass, which the index then refuses.
+    """
+    bits = max(16, min(MOST_BITS, BITS_PER_LETTER * max(1, letters)).bit_length() - 1)
+
+    def set_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            w = Words(batch["text"])
+            at = np.unique(w.slots(bits)[w.inside])
+            yield pd.DataFrame({"word": at >> 6, "mask": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    rows = texts.select("text").mapInPandas(set_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words64 = np.zeros(2**bits // 64, dtype=np.int64)
+    words64[rows["word"].to_numpy()] = rows["mask"].to_numpy()
+    return bits, words64.view(np.uint8)
+
+
+def _passages(bits: int, shared):
+    """Longest stretches of words all of whose terms the filter knows, if a run fits in."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            w = Words(batch["text"])
+            at = w.slots(bits)
+            there = w.inside & ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], there.view(np.int8), [0]])))
+            start, end = edge[::2], edge[1::2]
+            long = end - start >= STEPS
+            start, end = start[long], end[long] + TERM - 1
+            doc = batch["doc_id"].to_numpy()[np.searchsorted(w.ends, start, side="right")]
+            yield pd.DataFrame({"doc_id": doc, "passage": pd.Series([" ".join(w.flat[a:b]) for a, b in zip(start, end)], dtype=object)})
+
+    return cut
+
+
+# ---------------------------------------------------------------- the search
+def leaks(documents: DataFrame, items: DataFrame, texts_per_index: int = TEXTS_PER_INDEX, passages_per_task: int = PASSAGES_PER_TASK) -> DataFrame:
     """``doc_id, question_id`` of every document that holds a run of an item, distinct.
 
     ``documents(doc_id, text)``, ``items(question_id, question, gold_answer)``. A run lies
     within one of the two fields. Null and blank texts and items shorter than a run give no
-    row. The items are a held-out test set: they are indexed in blocks of at most
-    ``items_per_index``, so what a task holds is bounded, and every block is asked by all
-    documents; a document is read as a stream of passages and never shuffled.
+    row. Documents are read and taken apart once, where they lie: what is left are the passages
+    of words whose terms all occur in the items, a text each. Every different passage then asks
+    the index. Many items make several indexes, many passages several tasks for each; a task
+    holds ``texts_per_index`` and ``passages_per_task`` on average, whatever the sizes of the
+    two tables. Nothing but the filter of terms comes to the driver.
     """
     spark = documents.sparkSession
-    texts = items.select("question_id", F.explode(F.array("question", "gold_answer")).alias("text")).where("question_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // items_per_index))
-    bucket = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    texts = items.select(F.col("question_id").alias("key"), F.explode(F.array("question", "gold_answer")).alias("text")).where("key is not null and text is not null")
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("letters")).first()
+    bits, known = known_terms(texts, int(size["letters"] or 0))
     asked = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = None
-    for no in range(blocks):
-        # Hashing cannot by chance make a block several times as large as the mean.
-        rows = collected(texts.where(bucket == no), 8 * items_per_index + 64, "a block of test items")
-        shared = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in rows))
-        part = asked.mapInPandas(_asking(shared), "doc_id bigint, question_id string")
-        found = part if found is None else found.union(part)
-    return found.distinct()
-
-
-def _asking(shared):
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = WandIndex([(k, words(t)) for k, t in shared.value])
-        for batch in batches:
-            hits = [(d, q) for d, t in zip(batch["doc_id"], batch["text"]) for q in index.leaked(t)]
-            yield pd.DataFrame(hits, columns=["doc_id", "question_id"])
+    held = asked.mapInPandas(_passages(bits, spark.sparkContext.broadcast(known)), "doc_id bigint, passage string")
+    held, seen = measured(held, "passages", n=F.count(F.lit(1)))
+    indexes, tasks = max(1, -(-size["n"] // texts_per_index)), max(1, -(-seen["n"] // passages_per_task))
+
+    def numbers(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = texts.withColumn("no", F.pmod(F.xxhash64("key", "text"), F.lit(indexes)).cast("int")).withColumn("task", numbers(tasks))
+    different = held.select("passage").distinct()
+    right = different.withColumn("task", F.pmod(F.xxhash64("passage"), F.lit(tasks)).cast("int")).withColumn("no", numbers(indexes))
+    met = left.groupBy("no", "task").cogroup(right.groupBy("no", "task")).applyInPandas(_ask, "p string, question_id string")
+    return held.join(met.hint("merge"), F.col("passage") == F.col("p")).select("doc_id", "question_id").distinct()
+
 
-    return ask
+def _ask(texts: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+    index = WandIndex([(k, words(t)) for k, t in zip(texts["key"], texts["text"])])
+    hits = [(p, q) for p in passages["passage"] for q in index.leaked(p.split(" "))]
+    return pd.DataFrame(hits, columns=["p", "question_id"], dtype=object)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,7 +35,7 @@ def cases():
 def test_index_is_exact():
     docs, items = cases()
     index = L.WandIndex([(q, L.words(t)) for q, a, b in items for t in (a, b) if t])
-    got = {(d, k) for d, t in docs for k in index.leaked(t)}
+    got = {(d, k) for d, t in docs for k in index.leaked(L.words(t))}
     assert got == brute(docs, items) and len(got) > 20
 
 
@@ -44,7 +44,16 @@ def test_in_blocks(spark):
     d = spark.createDataFrame([(*x, "e") for x in docs + docs[:5]], "doc_id long, text string, question_id string")
     i = spark.createDataFrame([(*x, "e") for x in items], "question_id string, question string, gold_answer string, doc_id string")
     want = {x for x in brute(docs, items) if x[0] is not None}
-    for size in (1000, 15):
-        got = [tuple(r) for r in L.leaks(d, i, size).collect()]
+    for texts, passages in ((1000, 1000), (15, 7)):
+        got = [tuple(r) for r in L.leaks(d, i, texts, passages).collect()]
         assert set(got) == want and len(got) == len(set(got))
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BITS", 2**16)
+    docs, items = cases()
+    more = items + [(f"x{n}", " ".join(f"v{n}a{i}" for i in range(200)), None) for n in range(900)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(more, "question_id string, question string, gold_answer string")
+    assert {tuple(r) for r in L.leaks(d, i).collect()} == {x for x in brute(docs, items) if x[0] is not None}
