@@ -45,8 +45,7 @@ FINISHED = re.compile(r"[.!?…。！？।؟]['\"’”»」)\]]*\s*$")
 
 # ---------------------------------------------------------------- quotations
 QUOTES = {"“": "”", "„": "“”\"", "«": "»", "「": "」", "『": "』", "‘": "’", '"': '"'}
-#: A quotation that is not closed within so many characters is none.
-QUOTE_REACH = 400
+_OPENS = re.compile("[" + "".join(QUOTES) + "]")
 
 # ---------------------------------------------------------------- sentences
 # Abbreviations that are never the end of a sentence, by language.
@@ -66,56 +65,96 @@ MAY_END = {
     "fr": "etc S.A S.A.R.L Cie",
     "es": "etc S.A S.L Cía EE.UU",
 }
+# Abbreviations of any language that are words or names in this one, so they end a sentence when a capital follows.
+ALSO_WORDS = {"en": "art Art no cap av Jan Mar Mon Wed Sat Sun", "de": "Art", "fr": "art cap", "es": "no cap Mar"}
+# Words that tell the languages of one script apart.
+COMMON = {
+    "en": "the of and to is was are were we you it for on with that this from have has be by at as not",
+    "de": "der die das und ist nicht wir ein eine den dem zu mit auf für von im wird sich bei war sind auch",
+    "fr": "le les des est et une nous pour dans sur que qui du au pas avec ce cette sont a été par",
+    "es": "el los las que en una es con por para del se no lo su al fue más como y",
+}
+LATIN = tuple(COMMON)
 _CLOSE = r"['\"’”»」』)\]]"
 PLACE = re.compile(rf"[.!?…。！？।؟۔]+(?:\s?[»]|{_CLOSE})*|(?<=[ก-๛])[ \n]+(?=[ก-๛A-Z0-9])")
 
+#: Kinds of places: an East Asian mark, one of a script without capitals, a blank between Thai
+#: words, a point after what may be an abbreviation or number, and all others.
+CJK, CASELESS, BLANK, POINT, OTHER = range(5)
+_CJK_END = "。！？"
+_ANYWHERE = (POINT, OTHER)
+
 
 def _words(text: str) -> str:
     return "|".join(re.escape(w).replace(r"\.", r"\.\s?") for w in sorted(text.split(), key=len, reverse=True))
 
 
-def _rules() -> list[tuple[bool, re.Pattern, re.Pattern]]:
+def _table(told: str | None, kind: int) -> list[tuple[bool, re.Pattern, re.Pattern]]:
+    """The ordered pairs of a language (null: of texts that do not tell theirs) for one kind of place.
+
+    Texts quote names and phrases of other languages, so the abbreviations of all are known,
+    but for those that are words of the language itself.
+    """
     any_, lower = r"", r"\s*[\[(]?[^\W\d_A-Z]"
-    never = "|".join(_words(v) for v in NEVER_END.values())
-    may = "|".join(_words(v) for v in MAY_END.values())
+    open_ = ALSO_WORDS.get(told or "", "").split()
+    never = _words(" ".join(w for v in NEVER_END.values() for w in v.split() if w not in open_))
+    may = _words(" ".join([*(w for v in MAY_END.values() for w in v.split()), *open_]))
+    point, anywhere = (POINT,), _ANYWHERE
     pairs = [
         # Scripts without spaces or capitals.
-        (BREAK, r"[ก-๛]$", r"[ \n]"),
-        (JOIN, r"[。！？][」』]$", r"\s*(?:と|って|という|は|が|を|の|に|で|も)"),
-        (BREAK, r"[。！？]['\"”’」』)]*$", any_),
-        (BREAK, r"[।؟۔]['\"”’»)]*$", any_),
+        ((BLANK,), BREAK, r"[ก-๛]$", r"[ \n]"),
+        ((CJK,), JOIN, r"[。！？][」』]$", r"\s*(?:と|って|という|は|が|を|の|に|で|も)"),
+        ((CJK,), BREAK, r"[。！？]['\"’”」』)]*$", any_),
+        ((CASELESS,), BREAK, r"[।؟۔]['\"’”»)]*$", any_),
         # Numbers, versions, files, addresses: no blank after the mark, no capitalised word either.
-        (JOIN, r"[.!?…]['\"’”»)\]]*$", r"[a-z0-9_/\\@:=&?#,;-]"),
+        (anywhere, JOIN, r"[.!?…]['\"’”»)\]]*$", r"[a-z0-9_/\\@:=&?#,;-]"),
         # German ordinals and numbered months.
-        (JOIN, r"\b(?:am|im|vom|zum|bis|ab|der|dem|den|des|die|das|seit)\s\d{1,3}\.$", r"\s+[A-ZÄÖÜ]"),
-        (JOIN, r"\b\d{1,2}\.$", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal)\b"),
+        (point, JOIN, r"\b(?:am|im|vom|zum|bis|ab|der|dem|den|des|die|das|seit)\s\d{1,3}\.$", r"\s+[A-ZÄÖÜ]"),
+        (point, JOIN, r"\b\d{1,2}\.$", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal)\b"),
         # Units of measure after a number.
-        (BREAK, r"\d\s?(?:ms|min|mins|h|hrs|s|sec|st|mt|no)\.$", r"\s+[^\W\d_a-z]"),
+        (point, BREAK, r"\d\s?(?:ms|min|mins|h|hrs|s|sec|st|mt|no)\.$", r"\s+[^\W\d_a-z]"),
         # Abbreviations of several parts, between the parts.
-        (JOIN, r"(?:^|[\s(])[a-zA-Z]\.$", r"\s?[^\W\d_]\."),
+        (point, JOIN, r"(?:^|[\s(])[a-zA-Z]\.$", r"\s?[^\W\d_]\."),
         # Numbers named by an abbreviation.
-        (JOIN, r"\b(?:[Nn]o|[Nn]r|[Aa]rt|[Ss]ec|[Cc]h|[Vv]ol|[Pp]p?|[Mm]ax|[Mm]in|[Ff]ig|pág|núm)\.$", r"\s*\d"),
-        (JOIN, rf"(?:^|[\s(\[“\"'„«—–/-])(?:{never})\.$", any_),
-        (JOIN, r"(?:^|[\s(\[“\"'„«])(?:J\.\s)?[A-Z]\.$", r"\s*[A-Z][\w'’.-]"),
-        (JOIN, rf"(?:^|[\s(\[“\"'„«-])(?:{may})\.$", lower),
-        (JOIN, rf"(?:^|[\s(\[“\"'„«-])(?:{may})\.$", r"\s*[,;:)\]0-9]"),
-        (JOIN, r"\b(?:[A-Za-z]\.){2,}$", lower),
+        (point, JOIN, r"\b(?:[Nn]o|[Nn]r|[Aa]rt|[Ss]ec|[Cc]h|[Vv]ol|[Pp]p?|[Mm]ax|[Mm]in|[Ff]ig|pág|núm)\.$", r"\s*\d"),
+        (point, JOIN, rf"(?:^|[\s(\[“\"'„«—–/-])(?:{never})\.$", any_),
+        (point, JOIN, r"(?:^|[\s(\[“\"'„«])(?:J\.\s)?[A-Z]\.$", r"\s*[A-Z][\w'’.-]"),
+        (point, JOIN, rf"(?:^|[\s(\[“\"'„«-])(?:{may})\.$", lower),
+        (point, JOIN, rf"(?:^|[\s(\[“\"'„«-])(?:{may})\.$", r"\s*[,;:)\]0-9]"),
+        (point, JOIN, r"\b(?:[A-Za-z]\.){2,}$", lower),
         # A quotation, bracket or pause inside a longer sentence.
-        (JOIN, rf"(?:\.\.\.|…){_CLOSE}*$", lower),
-        (JOIN, r"[.!?…]\s?['\"’”»)\]]+$", r"\s*[,;:]|\s+[^\W\d_A-Z]"),
-        (JOIN, r"[.!?…]+$", r"\s*[,;:)\]]"),
+        (anywhere, JOIN, rf"(?:\.\.\.|…){_CLOSE}*$", lower),
+        ((OTHER,), JOIN, r"[.!?…]\s?['\"’”»)\]]+$", r"\s*[,;:]|\s+[^\W\d_A-Z]"),
+        (anywhere, JOIN, r"[.!?…]+$", r"\s*[,;:)\]]"),
         # End marks with a blank after them, whatever follows.
-        (BREAK, r"[.!?…]\s?['\"’”»)\]]*$", r"\s"),
+        (anywhere, BREAK, r"[.!?…]\s?['\"’”»)\]]*$", r"\s"),
         # The blank is missing.
-        (BREAK, r"[a-zà-ÿ0-9)%][.!?…]+['\"’”»)\]]*$", r"[“\"„«(¿¡]?[A-ZÀ-Ý][a-zà-ÿ']"),
-        (BREAK, r"[.!?…]+['\"’”»)\]]*$", r"[ऀ-ॿ؀-ۿก-๛぀-ヿ一-鿿¿¡]"),
-        (JOIN, any_, any_),
+        (anywhere, BREAK, r"[a-zà-ÿ0-9)%][.!?…]+['\"’”»)\]]*$", r"[“\"„«(¿¡]?[A-ZÀ-Ý][a-zà-ÿ']"),
+        (anywhere, BREAK, r"[.!?…]+['\"’”»)\]]*$", r"[ऀ-ॿ؀-ۿก-๛぀-ヿ一-鿿¿¡]"),
     ]
-    return [(b, re.compile(before), re.compile(after)) for b, before, after in pairs]
+    return [(decision, re.compile(before), re.compile(after)) for kinds, decision, before, after in pairs if kind in kinds]
+
 
+#: Tables by language and kind of place.
+TABLES = {told: [_table(told, kind) for kind in range(5)] for told in (*LATIN, None)}
+#: Last parts of words after which a point may not be an end mark; all others are decided without the lists.
+_SUSPECT = {re.split(r"\W", w)[-1] for t in (NEVER_END, MAY_END) for v in t.values() for w in v.split()} | {"ms", "min", "mins", "h", "hrs", "s", "sec", "st", "mt", "no"}
+#: Those for which the language of the text matters.
+_TOLD = {w for v in ALSO_WORDS.values() for w in v.split()}
+#: No table looks farther back than this from the first end mark (checked in the tests).
+STEM = 48
+_COMMON = {x: frozenset(v.split()) for x, v in COMMON.items()}
+_TOKEN = re.compile(r"[^\W\d_]+")
 
-RULES = _rules()
-_CONTEXT = 48
+
+def language(text: str, hint: str | None) -> str | None:
+    """The language whose most common words a stretch of Latin text has; else that of the hint, else null."""
+    said = [w.lower() for w in _TOKEN.findall(text)]
+    votes = sorted(((sum(w in c for w in said), x) for x, c in _COMMON.items()), reverse=True)
+    if votes[0][0] > votes[1][0]:
+        return votes[0][1]
+    declared = re.split(r"[-_]", (hint or "").strip().lower())[0]
+    return declared if declared in _COMMON else None
 
 
 def _segments(text: str) -> Iterator[tuple[int, int, int, bool]]:
@@ -155,16 +194,24 @@ def _stands(line: str) -> bool:
 
 
 def _quotations(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """``(opening, closing)`` places of the quotations of a segment, not nested."""
-    found, i = [], start
-    while i < end:
-        close = QUOTES.get(text[i])
-        if close and not (text[i] == '"' and i > start and text[i - 1].isalnum() and i + 1 < end and text[i + 1].isalnum()):
-            stop = min(end, i + 1 + QUOTE_REACH)
-            ends = [p for p in (text.find(c, i + 1, stop) for c in close) if p >= 0]
-            if ends:
-                found.append((i, min(ends)))
-                i = min(ends)
+    """``(opening, closing)`` places of the quotations of a segment, not nested, of any length."""
+    found, ahead, i = [], {}, start
+    while m := _OPENS.search(text, i, end):
+        i = m.start()
+        if text[i] == '"' and i > start and text[i - 1].isalnum() and i + 1 < end and text[i + 1].isalnum():
+            i += 1
+            continue
+        ends = []
+        for c in QUOTES[text[i]]:
+            # Where the next such mark is, is looked up once.
+            if ahead.get(c, i) <= i:
+                p = text.find(c, i + 1, end)
+                ahead[c] = p if p >= 0 else end
+            if ahead[c] < end:
+                ends.append(ahead[c])
+        if ends:
+            found.append((i, min(ends)))
+            i = min(ends)
         i += 1
     return found
 
@@ -177,18 +224,20 @@ def _spoken(text: str, start: int, opening: int) -> bool:
     return i >= start and text[i] in ":：,，、"
 
 
-_CJK_END = "。！？"
 #: What may follow a quotation that ended its sentence after a colon or comma.
 _GOES_NO_FURTHER = re.compile(r"\s+(?!(?:and|but|or|then|as|while|und|aber|et|mais|y|pero)\b)\w")
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Code-point offsets ``(start, end)`` of the sentence units of a text, in order."""
+def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """Code-point offsets ``(start, end)`` of the sentence units of a text, in order.
+
+    ``lang`` is only a hint for stretches whose words do not tell their language.
+    """
     out: list[tuple[int, int]] = []
     if not text:
         return out
     for start, end, free, whole in _segments(text):
-        cuts = [] if whole else _breaks(text, start, end, free)
+        cuts = [] if whole else _breaks(text, start, end, free, lang)
         at = start
         for cut in [*cuts, end]:
             a, b = at, cut
@@ -202,32 +251,50 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(text: str, start: int, end: int, free: int) -> list[int]:
+def _kind(text: str, start: int, m: re.Match) -> tuple[int, str]:
+    """Kind of a place and, for a single point, the letters before it."""
+    mark = m.group(0)
+    if mark != ".":
+        c = mark[0]
+        return (CJK if c in _CJK_END else BLANK if c.isspace() else CASELESS if c in "।؟۔" else OTHER), ""
+    i = at = m.start()
+    while i > start and text[i - 1].isalnum():
+        i -= 1
+    word = text[i:at]
+    return (POINT if len(word) < 2 or word in _SUSPECT or word.isdigit() or (word[0].isdigit() and not word[-1].isdigit()) else OTHER), word
+
+
+def _breaks(text: str, start: int, end: int, free: int, lang: str | None) -> list[int]:
     quotations = _quotations(text, start, end)
+    told: tuple[str | None] | None = None  # asked once, and only where it matters
     q, cuts, last = 0, [], start
     for m in PLACE.finditer(text, free, end):
         at = m.start() if m.group(0)[0].isspace() else m.end()
-        while q < len(quotations) and quotations[q][1] < m.start():
-            q += 1
-        for opening, _ in quotations[q : q + 2]:
-            if m.start() < opening < at:
-                at = opening  # a mark that opens the next quotation closes nothing
-        if q < len(quotations) and quotations[q][0] < m.start() and at <= quotations[q][1]:
-            continue  # inside a quotation
+        if quotations:
+            while q < len(quotations) and quotations[q][1] < m.start():
+                q += 1
+            for opening, _ in quotations[q : q + 2]:
+                if m.start() < opening < at:
+                    at = opening  # a mark that opens the next quotation closes nothing
+            if q < len(quotations) and quotations[q][0] < m.start() and at <= quotations[q][1]:
+                continue  # inside a quotation
         if at >= end:
             continue
-        closes = q < len(quotations) and quotations[q][0] < m.start() <= quotations[q][1] < at
-        if closes and m.group(0)[0] in _CJK_END:
-            # A quotation that begins the sentence goes on with who said it.
-            if not _spoken(text, max(last, free), quotations[q][0]) and text[max(last, free) : quotations[q][0]].strip() == "":
+        kind, word = _kind(text, start, m)
+        if q < len(quotations) and quotations[q][0] < m.start() <= quotations[q][1] < at:
+            if kind == CJK:
+                # A quotation that begins the sentence goes on with who said it.
+                if not _spoken(text, max(last, free), quotations[q][0]) and text[max(last, free) : quotations[q][0]].strip() == "":
+                    continue
+            elif _spoken(text, max(last, free), quotations[q][0]) and _GOES_NO_FURTHER.match(text, at, end):
+                cuts.append(at)
+                last = at
                 continue
-        elif closes and _spoken(text, max(last, free), quotations[q][0]) and _GOES_NO_FURTHER.match(text, at, end):
-            cuts.append(at)
-            last = at
-            continue
-        before, after = text[max(last, at - _CONTEXT) : at], text[at : min(end, at + _CONTEXT)]
-        for decision, left, right in RULES:
-            if left.search(before) and right.match(after):
+        if kind == POINT and word in _TOLD and told is None:
+            told = (language(text[start:end], lang),)
+        before = text[max(last, m.start() - STEM) : at]
+        for decision, left, right in TABLES[told[0] if told and word in _TOLD else None][kind]:
+            if right.match(text, at, end) and left.search(before):
                 if decision:
                     cuts.append(at)
                     last = at
@@ -236,19 +303,20 @@ def _breaks(text: str, start: int, end: int, free: int) -> list[int]:
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """``doc_id, start_pos, end_pos`` of every unit of ``documents(doc_id, text)``.
+    """``doc_id, start_pos, end_pos`` of every unit of ``documents(doc_id, text, lang)``.
 
-    Offsets are 0-based code points, the end exclusive. Null and blank texts have no unit; a
+    A missing column ``lang`` is no hint. Offsets are 0-based code points, the end exclusive. Null and blank texts have no unit; a
     text of any length is cut as a whole, in one pass, and nothing is shuffled but to drop
     rows that are repeated in full.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, a, b) for d, t in zip(batch["doc_id"], batch["text"]) for a, b in units(t)]
+            rows = [(d, a, b) for d, t, lang in zip(batch["doc_id"], batch["text"], batch["lang"]) for a, b in units(t, lang)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"])
 
-    asked = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
+    asked = documents.select("doc_id", "text", lang).where("doc_id is not null and text is not null")
     return asked.mapInPandas(cut, "doc_id bigint, start_pos int, end_pos int")
 
 

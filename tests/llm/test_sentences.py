@@ -30,6 +30,37 @@ def test_units(text, want):
     assert [text[a:b] for a, b in S.units(text)] == want
 
 
+LANGUAGES = [
+    ("He likes art. She does not.", "en", ["He likes art.", "She does not."]), ("The answer is no. We go on.", None, ["The answer is no.", "We go on."]),
+    ("We met in Mar. Then we left.", "es", ["We met in Mar.", "Then we left."]), ("It was on Mar. 3 in the end. See art. 5 of it.", "en", ["It was on Mar. 3 in the end.", "See art. 5 of it."]),
+    ("Voir l'art. Dupont dans le texte.", None, ["Voir l'art.", "Dupont dans le texte."]), ("Véase el art. Dos de la ley.", None, ["Véase el art. Dos de la ley."]),
+    ("Dijo que no. Luego se fue.", "en", ["Dijo que no.", "Luego se fue."]), ("Das ist eine neue Art. Und die bleibt.", None, ["Das ist eine neue Art.", "Und die bleibt."]),
+    ("Art. Xyz", "xx-YY", ["Art. Xyz"]), ("Art. Xyz", " DE_de", ["Art.", "Xyz"]), ("Art. Xyz", None, ["Art. Xyz"]),
+]
+
+
+@pytest.mark.parametrize("text,lang,want", LANGUAGES)
+def test_words_that_are_abbreviations_elsewhere(text, lang, want):
+    assert [text[a:b] for a, b in S.units(text, lang)] == want
+
+
+def test_quotations_of_any_length():
+    for n in (3, 50, 500):
+        said = "It failed. We retried. " * n
+        text = f"“{said}” wrote Tom. He left."
+        assert [text[a:b] for a, b in S.units(text)] == [f"“{said}” wrote Tom.", "He left."]
+    assert len(S.units("“ open. Next " * 20_000)) == 20_001  # none of them closes
+
+
+def test_nothing_looks_beyond_the_stem():
+    import re._parser as parser
+
+    for tables in S.TABLES.values():
+        for _, before, _ in tables[S.POINT]:
+            low, high = parser.parse(before.pattern).getwidth()
+            assert high < S.STEM or before.pattern.rstrip("$").endswith(("*", "+", "{2,}"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB1.!?\"“”「」() \n-#>:。，،؟กข é", max_size=60))
 def test_units_hold_all_that_is_visible(text):
