@@ -15,14 +15,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.llm import pii_patterns as P
 from factweave.plans.lineage import stored
 from factweave.sources.tables import table
 
 ROUNDS = 3
-#: Words of a lexicon that is broadcast; a larger one is joined to the texts instead.
-MAX_LEXICON = 500_000
+#: Letters of a lexicon that is broadcast; of a larger one every text gets, by a join, the words it holds.
+LEXICON_LETTERS = 32_000_000
 #: Counts held by one task before they are passed on.
 FLUSH = 100_000
 
@@ -83,8 +84,8 @@ def _forms(text: str, towns: set[str] | None) -> tuple[list[tuple[str, int, int]
     low = text.lower()
     if "@" in text or "at)" in low or "at]" in low or "at}" in low:
         found += [("email", *m.span()) for m in P.EMAIL.finditer(text)]
-    found += [("phone", *m.span()) for m in P.PHONE.finditer(text)]
-    for m in P.ADDRESS.finditer(text):
+    found += [("phone", *span) for span in P.phones(text)]
+    for m in P.addresses(text):
         start, end = m.span()
         for group in ("town1", "town2", "town3", "town4", "town5"):
             town = m.group(group)
@@ -114,22 +115,27 @@ def evidence_of(text: str, firsts: set[str], lasts: set[str]) -> Iterator[tuple[
             yield "number", P.number_context(text, a), P.shape(m.group(0))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _spoken(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: sorted(P.spoken(t)) if t else [])
+
+
 def _texts_with(known: DataFrame, texts: DataFrame) -> tuple[DataFrame, object]:
-    """The texts with what is known of their words: broadcast if bounded, else joined."""
+    """The texts with what is known of their words: broadcast if its measured size allows, else joined.
+
+    Either way a text is read by the same functions with the same words at hand.
+    """
     spark = texts.sparkSession
     tagged = known.select(F.concat_ws(":", "role", "word").alias("w"))
-    if tagged.limit(MAX_LEXICON + 1).count() <= MAX_LEXICON:
-        shared = spark.sparkContext.broadcast([r[0] for r in tagged.collect()])
+    if (tagged.agg(F.sum(F.length("w"))).first()[0] or 0) <= LEXICON_LETTERS:
+        shared = spark.sparkContext.broadcast([r[0] for r in tagged.toLocalIterator()])
         return texts.withColumn("known", F.lit(None).cast("array<string>")), shared
     # Forms of numbers are few, by the form itself, and go to every text; words meet theirs by a join.
     forms = spark.sparkContext.broadcast([r[0] for r in tagged.where(F.col("w").startswith("N:")).distinct().collect()])
-    said = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}[\p{L}-]*"), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - 1, F.lit(1))), lambda i: F.array_join(F.slice("s", i, F.lit(2)), " "))
-    spoken = texts.where("content is not null").select("artifact_id", "content", said.alias("s")).where("size(s) > 0")
-    words = spoken.select("artifact_id", "content", F.explode(F.array_distinct(F.concat("s", pairs))).alias("word"))
-    hits = words.join(known, "word").groupBy("artifact_id", "content").agg(F.collect_set(F.concat_ws(":", "role", "word")).alias("known"))
-    there = hits.select(F.col("artifact_id").alias("__a"), F.col("content").alias("__c"), "known")
-    joined = texts.join(there, F.col("artifact_id").eqNullSafe(F.col("__a")) & (F.col("content") == F.col("__c")), "left")
+    marked = texts.withColumn("h", F.sha2("content", 256))
+    words = marked.where("content is not null").groupBy("h").agg(F.first("content").alias("content")).select("h", F.explode(_spoken("content")).alias("word"))
+    hits = words.join(known.hint("merge"), "word").groupBy("h").agg(F.collect_set(F.concat_ws(":", "role", "word")).alias("known"))
+    joined = marked.join(hits.hint("merge"), "h", "left")
     return joined.select("artifact_id", "content", F.coalesce("known", F.array().cast("array<string>")).alias("known")), _Forms(forms)
 
 

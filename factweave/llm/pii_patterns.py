@@ -20,13 +20,23 @@ PHONE = re.compile(
     r")(?![\w-]|[.:]\d)"
 )
 # Words of street addresses in four languages.
-_EN = r"(?:Street|St\.|St\b|Road|Rd\.?|Drive|Lane|Ln\.?|Court|Ct\.?|Row|Avenue|Ave\.?|Way|Place|Close|Terrace|Square|Crescent|Boulevard|Blvd\.?|Hill|Parade|Mews)"
+_EN_WORDS = "Street St Road Rd Drive Lane Ln Court Ct Row Avenue Ave Way Place Close Terrace Square Crescent Boulevard Blvd Hill Parade Mews"
+_DE_ENDS = "gasse weg straße strasse str. platz allee ring damm ufer steig hof markt"
+_FR_WORDS = "rue avenue impasse boulevard place chemin allée quai cours passage square"
+_ES_WORDS = "Calle Avenida Plaza Paseo Camino Carrera Ronda Travesía"
+_SHORT = {"St", "Rd", "Ln", "Ct", "Ave", "Blvd"}
+
+
+def _any(words: str) -> str:
+    return "|".join(re.escape(w) for w in words.split())
+
+
+_EN = "(?:" + "|".join(w + (r"(?:\.|\b)" if w == "St" else r"\.?" if w in _SHORT else "") for w in _EN_WORDS.split()) + ")"
 _UNIT = r"(?:Apt|Apartment|Flat|Unit|Suite|Ste|Room)\.?\s+#?\w+"
-_DE = r"[A-ZÄÖÜ][\wäöüß-]*(?:gasse|weg|straße|strasse|str\.|platz|allee|ring|damm|ufer|steig|hof|markt)"
-_FR = r"(?:rue|avenue|impasse|boulevard|place|chemin|allée|quai|cours|passage|square)"
-_ES = r"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía)"
+_DE = rf"[A-ZÄÖÜ][\wäöüß-]*(?:{_any(_DE_ENDS)})"
+_FR = rf"(?:{_any(_FR_WORDS)})"
+_ES = rf"(?:{_any(_ES_WORDS)})"
 _TOWN = r"(?P<town{n}>[A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ]\w*)*(?: [A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ]\w*)*)?)"
-_PLACE = r"(?:,?\s+\d{5}\s+" + _TOWN + r")"
 
 
 def _town(n: int) -> str:
@@ -47,14 +57,40 @@ ADDRESS = re.compile(
     r")"
 )
 
+#: Every address has one of these words, or a comma before its postcode (see ADDRESS).
+_STREET_WORDS = [*_EN_WORDS.split(), *_DE_ENDS.split(), *_FR_WORDS.split(), *_ES_WORDS.split()]
+_POSTCODE = re.compile(r",\s+\d{5}\s")
+#: What can hold a phone number: nothing else of PHONE is outside these characters, and none is shorter.
+_DIALLED = re.compile(r"[+(\d][\d .()+-]{6,}")
+_DIAL_START = re.compile(r"(?<![\w.+/-])[+(\d]")
+
+
+def addresses(text: str) -> list[re.Match]:
+    """Matches of ADDRESS; texts without any word of it are not searched."""
+    if any(w in text for w in _STREET_WORDS) or _POSTCODE.search(text):
+        return list(ADDRESS.finditer(text))
+    return []
+
+
+def phones(text: str) -> list[tuple[int, int]]:
+    """Spans of PHONE, tried only where a stretch of dialled characters or a part of it begins."""
+    found = []
+    for stretch in _DIALLED.finditer(text):
+        at = stretch.start()
+        while start := _DIAL_START.search(text, at, stretch.end()):
+            m = PHONE.match(text, start.start())
+            if m:
+                found.append(m.span())
+            at = m.end() if m else start.end()
+    return found
+
+
 # ---------------------------------------------------------------- candidates decided by context
 NUMBER = re.compile(r"(?<![\w.#/+-])(?:[A-Z]{1,2} ?)?\d(?:[ -]?\d){5,14}(?: ?[A-Z])?(?![\w-]|[.:/]\d)")
 #: A capitalised word (or one in capitals), not part of an address, a path or a longer word.
 CAPITAL = re.compile(r"(?<![\w@./+#'’-])[A-ZÀ-Þ](?:[a-zß-ÿ]+|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ][a-zß-ÿ]+)*(?![\w@+]|[-_.]\w|/)")
-LOWER_PAIR = re.compile(r"(?<![\w@./+#'’-])([a-zß-ÿ]{2,}),?(?= [a-zß-ÿ]{4,})")
 INITIAL = re.compile(r"[A-ZÀ-Þ]\.")
-_WORD_AFTER = re.compile(r"['’]s\b|[^\W\d_]+\.?|\d+|\S")
-_WORD_BEFORE = re.compile(r"(?:[^\W\d_]+\.?|\d+|[^\w\s]|\n)[ \t]*$")
+_NEXT_WORD = re.compile(r" ?([^\W\d_]+)")
 
 
 def shape(number: str) -> str:
@@ -73,6 +109,23 @@ def number_context(text: str, at: int) -> str:
     return last
 
 
+_LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_TOWN_WORD = re.compile(r"[\w'’-]+")
+
+
+def spoken(text: str) -> set[str]:
+    """Everything that a lexicon may be asked for in a text, in lower case: more does no harm."""
+    said = {x.rstrip(",") for x in text.split()}
+    for m in _LETTERS.finditer(text):
+        word = m.group(0)
+        said.add(word.lower())
+        if "-" in word or not word.isalpha():
+            said.update("".join(c if c.isalpha() else " " for c in word).lower().split())
+    words = [m.span() for m in _TOWN_WORD.finditer(text)]
+    said.update(text[a:d].lower() for (a, b), (c, d) in zip(words, words[1:]) if text[b:c] == " ")
+    return said
+
+
 def capitals(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of capitalised words outside the spans already taken."""
     found = [m.span() for m in CAPITAL.finditer(text)]
@@ -130,7 +183,7 @@ def after(text: str, at: int, firsts, lasts) -> str:
     if c == "\n":
         return "$"
     if c == ",":
-        m = re.compile(r" ?([^\W\d_]+)").match(text, i + 1)
+        m = _NEXT_WORD.match(text, i + 1)
         low = m.group(1).lower() if m else ""
         return ",<F>" if low in firsts else ",<S>" if low in lasts else ","
     if c.isalpha():

@@ -70,7 +70,7 @@ def test_bootstrapping(spark):
 def test_without_broadcast_is_the_same(spark, monkeypatch):
     df = spark.createDataFrame(corpus()[-34:], SCHEMA)
     want = {tuple(r) for r in pii.personal_information(df).collect()}
-    monkeypatch.setattr(pii, "MAX_LEXICON", 0)
+    monkeypatch.setattr(pii, "LEXICON_LETTERS", 0)
     assert {tuple(r) for r in pii.personal_information(df).collect()} == want
 
 
