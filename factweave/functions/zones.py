@@ -9,13 +9,17 @@ two mean the local time is ambiguous, none that it does not exist.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.plans.small import collected
 
-#: Wall-clock years in which segments are exploded; earlier and later times use the outermost.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Wall-clock years in which segments are exploded. No zone has a transition before them, and
+#: after them rules only repeat: a later year has those of one of the last 28 years with the
+#: same first weekday and number of days.
+FIRST_YEAR, LAST_YEAR = 1800, 2100
 #: More zones than exist in the IANA database.
 MAX_ZONES = 1000
 _FAR = 2**61
@@ -57,16 +61,31 @@ def segments(spark: SparkSession, zones: DataFrame) -> DataFrame:
             rows.append((name, lo, hi, len(over), (over or before[-1:])[0]))
     schema = "zone string, local_from long, local_to long, matches int, offset_s int"
     made = spark.createDataFrame(rows, schema)
-    first = _year(F.greatest("local_from", F.lit(-2208988800)))
-    last = _year(F.least("local_to", F.lit(4133894400)))
+    first, last = _year(F.col("local_from")), _year(F.col("local_to"))
     return made.withColumn("year", F.explode(F.sequence(F.least(first, last), last)))
 
 
+def _day(year: int) -> int:
+    return datetime.date(year, 1, 1).toordinal() - datetime.date(1970, 1, 1).toordinal()
+
+
 def _year(seconds: Column) -> Column:
-    clamped = F.greatest(F.least(seconds, F.lit(4133894400)), F.lit(-2208988800))
+    clamped = F.greatest(F.least(seconds, F.lit(_day(LAST_YEAR) * 86400 - 1)), F.lit(_day(FIRST_YEAR) * 86400))
     return F.year(F.date_from_unix_date(F.floor(clamped / 86400).cast("int")))
 
 
+def _repeated(seconds: Column) -> Column:
+    """The same time of a year whose rules are known, for times from ``LAST_YEAR`` on."""
+    alike = {(datetime.date(y, 1, 1).weekday(), _day(y + 1) - _day(y)): y for y in range(LAST_YEAR - 28, LAST_YEAR)}
+    like = F.create_map(*[x for (w, n), y in alike.items() for x in (F.lit(w * 1000 + n), F.lit(_day(y)))])
+    day = F.floor(seconds / 86400).cast("int")
+    year = F.year(F.date_from_unix_date(day))
+    start = F.unix_date(F.make_date(year, F.lit(1), F.lit(1)))
+    size = F.unix_date(F.make_date(year + 1, F.lit(1), F.lit(1))) - start
+    moved = seconds - (start - F.element_at(like, F.weekday(F.date_from_unix_date(start)) * 1000 + size)).cast("long") * 86400
+    return F.when(seconds < _day(LAST_YEAR) * 86400, seconds).otherwise(moved)
+
+
 def localize(df: DataFrame, local: str, zone: str, table: DataFrame, out: str) -> DataFrame:
     """Adds ``out``, the UTC micros of the wall-clock micros ``local`` in ``zone``.
 
@@ -77,7 +96,7 @@ def localize(df: DataFrame, local: str, zone: str, table: DataFrame, out: str) -
         F.col("zone").alias("__z_zone"), F.col("year").alias("__z_year"),
         F.col("local_from").alias("__z_from"), F.col("local_to").alias("__z_to"), F.col("offset_s").alias("__z_off"),
     ))
-    seconds = F.floor(F.col(local) / F.lit(1000000)).cast("long")
+    seconds = _repeated(F.floor(F.col(local) / F.lit(1000000)).cast("long"))
     keyed = df.withColumn("__z_s", seconds).withColumn("__z_y", _year(F.col("__z_s")))
     on = (F.col(zone) == F.col("__z_zone")) & (F.col("__z_y") == F.col("__z_year"))
     on = on & (F.col("__z_s") >= F.col("__z_from")) & (F.col("__z_s") < F.col("__z_to"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.state import KEY
+from factweave.plans import blocks
 from factweave.plans.small import bounded
 
 
@@ -18,10 +19,13 @@ def provenance(claims: DataFrame, artifacts: DataFrame, sources: DataFrame) -> D
 
 
 def cooccurring(claims: DataFrame) -> DataFrame:
-    """``subject_id, other_id``: different subjects with claims from one artifact, distinct."""
-    one = claims.select("artifact_id", "subject_id").distinct()
-    other = one.select(F.col("artifact_id").alias("a"), F.col("subject_id").alias("other_id"))
-    return one.join(other, (F.col("artifact_id") == F.col("a")) & (F.col("subject_id") != F.col("other_id"))).select("subject_id", "other_id").distinct()
+    """``subject_id, other_id``: different subjects with claims from one artifact, distinct.
+
+    An artifact with very many subjects is met block by block.
+    """
+    one = claims.select("artifact_id", "subject_id").where("subject_id is not null").distinct()
+    met = blocks.paired(one, ["artifact_id"], "subject_id").select("a_subject_id", "b_subject_id").distinct()
+    return met.select(F.explode(F.array(F.struct(F.col("a_subject_id").alias("subject_id"), F.col("b_subject_id").alias("other_id")), F.struct(F.col("b_subject_id").alias("subject_id"), F.col("a_subject_id").alias("other_id")))).alias("x")).select("x.*")
 
 
 def edges(claims: DataFrame) -> DataFrame:
@@ -37,10 +41,9 @@ def degree(edges_: DataFrame, outgoing: bool) -> DataFrame:
 
 def two_hop(claims: DataFrame) -> DataFrame:
     """``object_id, other_object, artifacts``: objects linked by claims from the same artifact."""
-    one = claims.select("artifact_id", "object_id").distinct()
-    other = one.select(F.col("artifact_id").alias("a"), F.col("object_id").alias("other_object"))
-    met = one.join(other, (F.col("artifact_id") == F.col("a")) & (F.col("object_id") < F.col("other_object")))
-    return met.groupBy("object_id", "other_object").agg(F.count(F.lit(1)).alias("artifacts"))
+    one = claims.select("artifact_id", "object_id").where("object_id is not null").distinct()
+    met = blocks.paired(one, ["artifact_id"], "object_id")
+    return met.groupBy(F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("other_object")).agg(F.count(F.lit(1)).alias("artifacts"))
 
 
 def export_nodes(claims: DataFrame) -> DataFrame:

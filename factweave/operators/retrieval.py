@@ -135,35 +135,54 @@ def top(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
 def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, key, score, rank``: the ``k`` nearest by cosine, in millionths.
 
-    ``queries(query_id, vector)``. Both sides are packed into blocks of a fixed number of
-    vectors; every block of queries meets every block of vectors in one matrix product that
-    passes on ``k`` rows per query. Vectors that are null or zero are near to nothing.
+    ``queries(query_id, vector)``, a stated query set, goes to every task in blocks of at most
+    ``BLOCK`` unit vectors; vectors stay where they lie, meet a block in one matrix product a
+    batch and pass on ``k`` rows per query. Vectors that are null, hold a null, or have another
+    length than the query are left out; a zero vector is near to nothing.
     """
-    def packed(df: DataFrame, id_: str, name: str) -> DataFrame:
-        n = df.count()
-        blocks = max(1, -(-n // BLOCK))
-        bucket = F.pmod(F.xxhash64(id_), F.lit(blocks))
-        good = df.where(F.col(vector).isNotNull())
-        return good.groupBy(bucket.alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id_).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias(name))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.array([r["i"] for r in rows], dtype=np.int64)
-            m = np.array([r["v"] for r in rows], dtype=np.float64)
-            return ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-        for batch in batches:
-            for q, d in zip(batch["q"], batch["d"]):
-                (qi, qm), (di, dm) = matrix(q), matrix(d)
+    spark = vectors.sparkSession
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // BLOCK))
+    own = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    parts = []
+    for no in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == no).collect()
+        for size in sorted({len(r["v"]) for r in rows}):
+            same = [r for r in rows if len(r["v"]) == size and None not in r["v"]]
+            if same and size:
+                m = np.array([r["v"] for r in same], dtype=np.float64)
+                shared = spark.sparkContext.broadcast((np.array([r["i"] for r in same], dtype=np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
+                parts.append(own.mapInPandas(_nearest(shared, key, k), f"query_id long, {key} long, score long"))
+    if not parts:
+        return own.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    return top(found, "query_id", key, k)
+
+
+def _nearest(shared, key: str, k: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qi, qm = shared.value
+        for whole in batches:
+            good = [x is not None and len(x) == qm.shape[1] and not np.isnan(x).any() for x in whole["v"]]
+            ids, rows = whole[key].to_numpy()[good], whole["v"][good]
+            for start in range(0, len(ids), BLOCK):
+                di, m = ids[start : start + BLOCK], np.stack(rows.iloc[start : start + BLOCK].to_list())
+                dm = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 score = np.rint((qm @ dm.T) * UNIT).astype(np.int64)
-                for i, row in enumerate(score):
-                    best = np.lexsort((di, -row))[:k]
-                    yield pd.DataFrame({"query_id": qi[i], key: di[best], "score": row[best]})
-
-    left, right = packed(queries, "query_id", "q"), packed(vectors, key, "d")
-    met = left.crossJoin(right)  # blocks of a stated query set against blocks of all vectors
-    near = met.select("q", "d").mapInPandas(nearest, f"query_id long, {key} long, score long")
-    return top(near, "query_id", key, k)
+                out = []
+                for row in score:
+                    hit = np.arange(len(di))
+                    if len(di) > 8 * k:  # those below the k-th score cannot be among the best
+                        hit = np.flatnonzero(row >= np.partition(row, len(di) - k)[len(di) - k])
+                    out.append(hit[np.lexsort((di[hit], -row[hit]))[:k]])
+                sizes = [len(x) for x in out]
+                at = np.concatenate(out)
+                which = np.repeat(np.arange(len(qi)), sizes)
+                yield pd.DataFrame({"query_id": qi[which], key: di[at], "score": score[which, at]})
+
+    return search
 
 
 def fuse(rankings: list[DataFrame], key: str, k: int, constant: int = 60) -> DataFrame:

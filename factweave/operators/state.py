@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.claims import OPEN_END
-from factweave.plans import sharded
+from factweave.plans import blocks, sharded
 
 KEY = ["object_id", "predicate"]
 
@@ -49,15 +49,55 @@ def as_of(claims: DataFrame, day: str) -> DataFrame:
 def as_of_many(claims: DataFrame, probes: DataFrame) -> DataFrame:
     """``as_of`` for every row of ``probes(probe_id, object_id, predicate, day)`` at once.
 
-    Probes and claims meet by key with the period as residual; the best claim of a probe is an
-    aggregate with partial results. Probes without a claim have nulls.
+    Probes without a claim have nulls. Each different day of a key is asked once, and probes
+    take its answer by an equality join. Claims are cut into calendar years; inside a year only
+    one claim of the same first and last day is left, a combine before the shuffle. What meets
+    is thus bounded by the days of a year, however many claims or probes a key has.
     """
-    c = claims.select(*[F.col(x).alias(f"c_{x}") for x in [*KEY, *STATE]])
-    on = (F.col("object_id") == F.col("c_object_id")) & (F.col("predicate") == F.col("c_predicate"))
-    on = on & (F.col("c_valid_from") <= F.col("day")) & (F.col("c_valid_to") > F.col("day"))
-    met = probes.join(c, on, "left")
-    top = F.max_by(F.struct(*[F.col(f"c_{x}").alias(x) for x in ["subject_id", "valid_from", "claim_id"]]), F.struct("c_valid_from", "c_claim_id"))
-    return met.groupBy("probe_id", *KEY, "day").agg(top.alias("top")).select("probe_id", *KEY, "day", "top.*")
+    keep = ["subject_id", "valid_from", "claim_id"]
+    return _answered(probes, _best_of_days(claims, _days(probes), keep, ["valid_from", "claim_id"]), keep)
+
+
+def before_many(claims: DataFrame, probes: DataFrame) -> DataFrame:
+    """``before`` for every row of ``probes(probe_id, object_id, predicate, day)`` at once; see ``as_of_many``."""
+    keep = ["subject_id", "valid_from", "claim_id"]
+    days = _days(probes)
+    eve = _best_of_days(claims, days.withColumn("day", F.date_sub("day", 1)), keep, ["valid_from", "claim_id"])
+    eve = eve.select(*KEY, F.date_add("day", 1).alias("day"), F.struct(*keep).alias("held"))
+    # The last that had ended: of earlier years the best of all, of the same year day by day.
+    ends = claims.where(~_open()).groupBy(*KEY, "valid_to").agg(F.max_by(F.struct(*keep), "claim_id").alias("row"))
+    ends = ends.withColumn("year", F.year("valid_to"))
+    yearly = ends.groupBy(*KEY, "year").agg(F.max_by("row", "valid_to").alias("row"), F.max("valid_to").alias("valid_to"))
+    asked = days.withColumn("year", F.year("day"))
+    earlier = asked.join(yearly.select(*KEY, F.col("year").alias("y"), "row", "valid_to"), KEY).where("y < year").select(*KEY, "day", "valid_to", "row")
+    same = asked.join(ends, [*KEY, "year"]).where("valid_to < day").select(*KEY, "day", "valid_to", "row")
+    last = earlier.unionByName(same).groupBy(*KEY, "day").agg(F.max_by("row", "valid_to").alias("ended"))
+    found = days.join(eve, [*KEY, "day"], "left").join(last, [*KEY, "day"], "left")
+    return _answered(probes, found.select(*KEY, "day", F.coalesce("held", "ended").alias("x")).where("x is not null").select(*KEY, "day", "x.*"), keep)
+
+
+def _days(probes: DataFrame) -> DataFrame:
+    return probes.select(*KEY, "day").where("day is not null").distinct()
+
+
+def _answered(probes: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
+    return probes.select("probe_id", *KEY, "day").join(found.hint("merge"), [*KEY, "day"], "left").select("probe_id", *KEY, "day", *keep)
+
+
+def _best_of_days(claims: DataFrame, days: DataFrame, keep: list[str], order: list[str]) -> DataFrame:
+    """Of the claims that hold on a day of a key the one with the largest ``order``."""
+    span = days.agg(F.min(F.year("day")).alias("lo"), F.max(F.year("day")).alias("hi")).first()
+    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, -1)
+    first, last = F.greatest(F.year("valid_from"), F.lit(lo)), F.least(F.year(F.date_sub("valid_to", 1)), F.lit(hi))
+    # Every year may be missing, then the sequence would run backwards.
+    held = claims.where("valid_from < valid_to").where(first <= last).withColumn("year", F.explode(F.sequence(first, last)))
+    opens, closes = F.make_date("year", F.lit(1), F.lit(1)), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1))
+    cut = held.groupBy(*KEY, "year", F.greatest("valid_from", opens).alias("__from"), F.least("valid_to", closes).alias("__to")).agg(
+        F.max_by(F.struct(*keep), F.struct(*order)).alias("row"), F.max(F.struct(*order)).alias("rank")
+    )
+    asked = days.withColumn("year", F.year("day"))
+    met = asked.join(cut.hint("merge"), [*KEY, "year"]).where("__from <= day and __to > day")
+    return met.groupBy(*KEY, "day").agg(F.max_by("row", "rank").alias("x")).select(*KEY, "day", "x.*")
 
 
 def before(claims: DataFrame, day: str) -> DataFrame:
@@ -121,11 +161,11 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
     ``first`` is the claim with the smaller (observation, id); periods that touch overlap only
     when the second begins where the first ends (the comparison is not symmetric on purpose).
+    The pairs of a key are its result; a key with very many claims is met block by block.
     """
-    a = claims.select(*KEY, F.col("claim_id").alias("first_id"), F.col("subject_id").alias("first_subject"), F.col("valid_from").alias("af"), F.col("valid_to").alias("at"), F.struct("observed_at", "claim_id").alias("ao"))
-    b = claims.select(*KEY, F.col("claim_id").alias("second_id"), F.col("subject_id").alias("second_subject"), F.col("valid_from").alias("bf"), F.col("valid_to").alias("bt"), F.struct("observed_at", "claim_id").alias("bo"))
-    met = a.join(b, KEY).where("ao < bo and first_subject <> second_subject and af <= bt and at > bf")
-    return met.select(*KEY, "first_id", "second_id", "first_subject", "second_subject")
+    rows = claims.where("claim_id is not null").select(*KEY, "claim_id", "subject_id", "valid_from", "valid_to", F.struct("observed_at", "claim_id").alias("at"))
+    met = blocks.paired(rows, KEY, "claim_id", F.expr("a_at < b_at and a_subject_id <> b_subject_id and a_valid_from <= b_valid_to and a_valid_to > b_valid_from"))
+    return met.select(*KEY, F.col("a_claim_id").alias("first_id"), F.col("b_claim_id").alias("second_id"), F.col("a_subject_id").alias("first_subject"), F.col("b_subject_id").alias("second_subject"))
 
 
 def conflicts(claims: DataFrame) -> DataFrame:

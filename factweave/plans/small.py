@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Row bound below which a dimension may be broadcast.
-MAX_BROADCAST_ROWS = 100_000
+#: Bounds below which a dimension may be broadcast: its rows, and its bytes as JSON.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 100_000, 16_000_000
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when at most ``max_rows`` rows exist, else ``df`` unchanged.
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its measured size is within both bounds, else ``df`` for a shuffled join.
 
-    The size is checked by counting at most ``max_rows + 1`` rows, so the check itself
-    stays cheap on a table that turns out to be large; the join then shuffles.
+    At most ``max_rows + 1`` rows are measured, so the check stays cheap on a large table.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    small = size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    return F.broadcast(df) if small else df.hint("merge")
 
 
 def collected(df: DataFrame, max_rows: int, what: str) -> list:

@@ -79,3 +79,18 @@ def test_segments_agree_with_the_zone_rules(spark, zone):
     for r in got[::7]:
         wall = datetime.fromtimestamp(r.local / 1e6, timezone.utc).replace(tzinfo=z, fold=0)
         assert r.utc == int(wall.timestamp()) * 1_000_000, wall
+
+
+def test_summer_time_of_any_year(spark):
+    """Far from the exploded years as well, held against another implementation of the zone rules."""
+    from zoneinfo import ZoneInfo
+
+    names = ["America/New_York", "Europe/Berlin", "Australia/Sydney", "Asia/Kolkata"]
+    rows = [(z, y, m, d, h) for z in names for y in (1801, 1850, 1899, 1950, 2024, 2099, 2100, 2101, 2137, 2150, 2200, 2400, 2996, 9998) for m, d, h in ((1, 1, 0), (1, 15, 12), (7, 1, 12), (12, 31, 23))]
+    df = spark.createDataFrame([(z, micros(f"{y:04}-{m:02}-{d:02}T{h:02}:00:00")) for z, y, m, d, h in rows], "zone string, local long")
+    seg = zones.segments(spark, spark.createDataFrame([(z,) for z in names], "z string"))
+    got = {(r.zone, r.local): r.utc for r in zones.localize(df, "local", "zone", seg, "utc").collect()}
+    for z, y, m, d, h in rows:
+        at = datetime(y, m, d, h, tzinfo=ZoneInfo(z))
+        local = micros(f"{y:04}-{m:02}-{d:02}T{h:02}:00:00")
+        assert got[z, local] == local - int(at.utcoffset().total_seconds()) * 1_000_000, (z, y, m)
