@@ -1,18 +1,14 @@
-"""Claims: construction, validity bounds, contract checks, the load gate and binding."""
+"""Claims: ids, validity bounds, and claims made of the orders table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.text import is_blank, mention_key
 from factweave.sources.tables import table
 
-# Ends of open intervals, predicates, methods and the pairs a predicate may join.
+# Ends of open intervals.
 OPEN_START, OPEN_END = "0001-01-01", "9999-12-31"
-PREDICATES = ["OWNS", "ASSIGNED_TO", "BLOCKS", "DEPENDS_ON", "LEADS", "MAINTAINS", "REVIEWS"]
-METHODS = ["deterministic", "hybrid", "llm", "manual"]
-ISO_DAY = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def short_hash(*parts: Column) -> Column:
@@ -61,60 +57,3 @@ claims AS (
       DATE '9999-12-31') AS valid_to
   FROM orders)
 """
-
-
-# ---------------------------------------------------------------- contract
-def problems(claims: DataFrame) -> DataFrame:
-    """Adds ``problems``, the names of the contract rules a claim breaks, in a fixed order.
-
-    Null fields break the rule that needs them; a claim without problems is valid.
-    """
-    c = F.col
-    rules = {
-        "claim_id": ~F.coalesce(c("claim_id").rlike(r"^[0-9a-f]{16}$"), F.lit(False)),
-        "artifact_id": ~F.coalesce(c("artifact_id").rlike(r"^(dsid_[0-9a-f]{32}|[a-z0-9_:-]+)$"), F.lit(False)),
-        "subject_mention": is_blank(c("subject_mention")),
-        "predicate": ~F.coalesce(c("predicate").isin(PREDICATES), F.lit(False)),
-        "object_mention": is_blank(c("object_mention")),
-        "observed_at": F.coalesce(~c("observed_at").rlike(ISO_DAY), F.lit(False)),
-        "valid_from": F.coalesce(~c("valid_from").rlike(ISO_DAY), F.lit(False)),
-        "valid_to": F.coalesce(~c("valid_to").rlike(ISO_DAY), F.lit(False)),
-        "period": F.coalesce(F.left(c("valid_to"), F.lit(10)) < F.left(c("valid_from"), F.lit(10)), F.lit(False)),
-        "confidence": ~F.coalesce(c("confidence").between(0, 1), F.lit(False)),
-        "extraction_method": ~F.coalesce(c("extraction_method").isin(METHODS), F.lit(False)),
-    }
-    return claims.withColumn("problems", F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()])))
-
-
-def duplicate_ids(claims: DataFrame) -> DataFrame:
-    """``claim_id, copies`` of the ids that stand on more than one row."""
-    return claims.groupBy("claim_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-
-
-def gate(claims: DataFrame, resolvable: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Adds ``status``: ``PASS`` or the first reason why a claim cannot be loaded.
-
-    ``resolvable(mention, label)`` lists what a mention resolves to, ``artifacts(id, time)`` the
-    known artifacts. Mentions are compared by key; one that resolves to two labels is ambiguous.
-    """
-    known = resolvable.select(mention_key(F.col("mention")).alias("m"), "label").groupBy("m").agg(F.count_distinct("label").alias("k"), F.min("label").alias("label"))
-    subject = known.select(F.col("m").alias("sm"), F.col("k").alias("sk"), F.col("label").alias("sl"))
-    object_ = known.select(F.col("m").alias("om"), F.col("k").alias("ok"), F.col("label").alias("ol"))
-    there = artifacts.groupBy(F.col("id").alias("aid")).agg(F.max("time").alias("atime"))
-    joined = (
-        claims.join(subject, mention_key(F.col("subject_mention")) == F.col("sm"), "left")
-        .join(object_, mention_key(F.col("object_mention")) == F.col("om"), "left")
-        .join(there, F.col("artifact_id") == F.col("aid"), "left")
-    )
-    status = (
-        F.when(~F.coalesce(F.col("predicate").isin(PREDICATES), F.lit(False)), "unknown_predicate")
-        .when(F.col("sm").isNull(), "unresolved_subject")
-        .when(F.col("om").isNull(), "unresolved_object")
-        .when(F.col("sk") > 1, "ambiguous_subject")
-        .when(F.col("ok") > 1, "ambiguous_object")
-        .when(F.col("aid").isNull(), "missing_artifact")
-        .when(is_blank(F.col("observed_at")) & F.col("atime").isNull(), "missing_time")
-        .when(~F.coalesce(F.col("confidence") >= 0.7, F.lit(False)), "low_confidence")
-        .otherwise("PASS")
-    )
-    return joined.select(*claims.columns, status.alias("status"))

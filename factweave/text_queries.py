@@ -34,14 +34,6 @@ def chats(spark, folder):
     return a.select("id", "content", F.col("metadata.message_id").alias("message_id"), F.col("metadata.channel_id").alias("channel_id"), F.col("metadata.author_user_id").alias("author")).distinct()
 
 
-def gated(spark, folder):
-    """The load gate over all claims; every mention written with a capital first is resolvable."""
-    c = claims(spark, folder)
-    m = V.mentions(c).where(F.col("mention").rlike("^@?[A-Z]")).select("mention", F.when(F.col("mention").rlike("[0-9]"), "Ticket").otherwise("Entity").alias("label")).distinct()
-    a = artifacts(spark, folder).select("id", F.col("timestamp").alias("time"))
-    return C.gate(c, m, a).select("claim_id", "status").groupBy("claim_id", "status").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def extraction_scores(spark, folder, by=None):
     """Facts of one extraction method held against those of all others."""
     c = claims(spark, folder).select("predicate", "extraction_method", F.concat_ws("|", mention_key(F.col("subject_mention")), mention_key(F.col("object_mention"))).alias("item"))
@@ -105,9 +97,6 @@ QUERIES = {
     "B13_thread_text": threads,
     "B18_quoted_history": quoted,
     "B22_html_text": html_text,
-    "C01_claim_problems": lambda s, d: C.problems(claims(s, d)).select("claim_id", F.array_join("problems", ",").alias("problems")).groupBy("claim_id", "problems").agg(F.count(F.lit(1)).alias("rows")),
-    "A03_duplicate_claims": lambda s, d: C.duplicate_ids(claims(s, d)),
-    "C05_load_gate": gated,
     "C08_artifact_problems": lambda s, d: N.validated(artifacts(s, d)).select(F.array_join("problems", ",").alias("problems")).groupBy("problems").agg(F.count(F.lit(1)).alias("rows")),
     "C15_prefix_filter": lambda s, d: documents(s, d).where(F.col("account_key").startswith("account:b")).select("doc_id"),
     "E04_mention_inventory": lambda s, d: V.mention_inventory(V.mentions(claims(s, d))).drop("spelling"),
@@ -139,8 +128,6 @@ _K = "lower(trim(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '^@'
 _S, _O = _K.format("subject_mention"), _K.format("object_mention")
 _CL = "claims_checkpoint50"
 _BLANK = "(regexp_replace(coalesce({}, ''), '\\s+', '', 'g') = '')"
-_ISO = C.ISO_DAY
-_PRED = "(" + ", ".join(f"'{p}'" for p in C.PREDICATES) + ")"
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{n}'" for n, p in Q.INTENTS) + " ELSE 'GENERIC' END"
 
 
@@ -161,19 +148,6 @@ ORACLES = {
     "B11_slack_times": "SELECT DISTINCT metadata.message_id AS message_id, strftime(make_timestamp(CAST(floor(CAST(metadata.message_id AS DOUBLE)) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM artifacts WHERE source = 'slack'",
     "B12_links": r"SELECT * FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, 'https?://[^\s<>|)\]]+'), lambda x: regexp_replace(x, '[.,;:!?]+$', '')), ',') AS links FROM documents) WHERE links <> ''",
     "B22_html_text": "SELECT doc_id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g') || ' ' || doc_id || ' <ok>') AS text FROM documents",
-    "C01_claim_problems": f"""SELECT claim_id, concat_ws(',', CASE WHEN NOT coalesce(regexp_matches(claim_id, '^[0-9a-f]{{16}}$'), false) THEN 'claim_id' END,
-      CASE WHEN NOT coalesce(regexp_matches(artifact_id, '^(dsid_[0-9a-f]{{32}}|[a-z0-9_:-]+)$'), false) THEN 'artifact_id' END, CASE WHEN {_BLANK.format('subject_mention')} THEN 'subject_mention' END,
-      CASE WHEN NOT coalesce(predicate IN {_PRED}, false) THEN 'predicate' END, CASE WHEN {_BLANK.format('object_mention')} THEN 'object_mention' END,
-      CASE WHEN NOT regexp_matches(observed_at, '{_ISO}') THEN 'observed_at' END, CASE WHEN NOT regexp_matches(valid_from, '{_ISO}') THEN 'valid_from' END, CASE WHEN NOT regexp_matches(valid_to, '{_ISO}') THEN 'valid_to' END,
-      CASE WHEN left(valid_to, 10) < left(valid_from, 10) THEN 'period' END, CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence' END,
-      CASE WHEN NOT coalesce(extraction_method IN ('deterministic', 'hybrid', 'llm', 'manual'), false) THEN 'extraction_method' END) AS problems, count(*) AS rows FROM {_CL} GROUP BY 1, 2""",
-    "A03_duplicate_claims": f"SELECT claim_id, count(*) AS copies FROM {_CL} GROUP BY 1 HAVING count(*) > 1",
-    "C05_load_gate": f"""WITH m AS (SELECT subject_mention AS mention FROM {_CL} UNION ALL SELECT object_mention FROM {_CL}),
-      k AS (SELECT {_K.format('mention')} AS m, count(DISTINCT CASE WHEN regexp_matches(mention, '[0-9]') THEN 'Ticket' ELSE 'Entity' END) AS k FROM m WHERE regexp_matches(mention, '^@?[A-Z]') GROUP BY 1),
-      a AS (SELECT id, max(timestamp) AS t FROM artifacts GROUP BY 1)
-      SELECT claim_id, CASE WHEN NOT coalesce(predicate IN {_PRED}, false) THEN 'unknown_predicate' WHEN s.m IS NULL THEN 'unresolved_subject' WHEN o.m IS NULL THEN 'unresolved_object' WHEN s.k > 1 THEN 'ambiguous_subject' WHEN o.k > 1 THEN 'ambiguous_object'
-      WHEN a.id IS NULL THEN 'missing_artifact' WHEN {_BLANK.format('observed_at')} AND a.t IS NULL THEN 'missing_time' WHEN NOT coalesce(confidence >= 0.7, false) THEN 'low_confidence' ELSE 'PASS' END AS status, count(*) AS rows
-      FROM {_CL} c LEFT JOIN k s ON s.m = {_S} LEFT JOIN k o ON o.m = {_O} LEFT JOIN a ON a.id = c.artifact_id GROUP BY 1, 2""",
     "C15_prefix_filter": "SELECT doc_id FROM documents WHERE starts_with(account_key, 'account:b')",
     "E04_mention_inventory": f"""WITH m AS (SELECT subject_mention AS mention, 'subject' AS role, claim_id, artifact_id, extraction_method AS method FROM {_CL} UNION ALL SELECT object_mention, 'object', claim_id, artifact_id, extraction_method FROM {_CL})
       SELECT {_K.format('mention')} AS key, role, count(*) AS frequency, count(DISTINCT claim_id) AS claims, count(DISTINCT artifact_id) AS artifacts, count(DISTINCT method) AS methods FROM m WHERE NOT {_BLANK.format('mention')} GROUP BY 1, 2""",

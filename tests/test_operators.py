@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from factweave.operators import claims as C
+from factweave.operators import contract as K
 from factweave.operators import identity as I
 from factweave.operators import inventory as V
 from factweave.operators import questions as Q
@@ -43,8 +43,30 @@ def test_conflict_kinds(spark):
 def test_contract(spark):
     row = ("0123456789abcdef", "dsid_" + "0" * 32, "Ann", "OWNS", "Acme", "2024-01-01", "2024-02-01", "2024-01-01", 1.5, "magic", None, None)
     df = spark.createDataFrame([row, (None,) * 12], "claim_id string, artifact_id string, subject_mention string, predicate string, object_mention string, observed_at string, valid_from string, valid_to string, confidence double, extraction_method string, evidence_span string, metadata map<string,string>")
-    got = [r.problems for r in C.problems(df).collect()]
-    assert got == [["period", "confidence", "extraction_method"], ["claim_id", "artifact_id", "subject_mention", "predicate", "object_mention", "confidence", "extraction_method"]]
+    got = [r.problems for r in K.problems(df, K.claim_rules()).collect()]
+    assert got == [["period", "confidence", "evidence_span"], ["claim_id", "artifact_id", "subject_mention", "predicate", "object_mention", "confidence", "extraction_method", "evidence_span"]]
+
+
+def test_gate_takes_the_first_code(spark):
+    good = {"claim_id": "0123456789abcdef", "artifact_id": "artifact:a", "subject_mention": " Ann ", "predicate": "OWNS", "object_mention": "Acme", "observed_at": "2024-01-01", "valid_from": None, "valid_to": None, "confidence": 0.9, "extraction_method": "llm", "evidence_span": "x"}
+    cases = [
+        ({}, "PASS"), ({"claim_id": None, "subject_mention": ""}, "MALFORMED_ID"), ({"subject_mention": " ", "object_mention": ""}, "INVALID_SUBJECT"), ({"object_mention": None, "predicate": "x"}, "INVALID_OBJECT"),
+        ({"predicate": "owns", "observed_at": "soon"}, "INVALID_PREDICATE"), ({"observed_at": "2024-02-30", "artifact_id": "artifact:lost"}, "INVALID_TIMESTAMP"), ({"valid_from": "2024-02-02", "valid_to": "2024-02-01T00:00:00Z"}, "INVALID_TIMESTAMP"),
+        ({"observed_at": None, "artifact_id": "artifact:lost"}, "MISSING_TIMESTAMP"), ({"observed_at": None}, "PASS"), ({"observed_at": None, "artifact_id": "artifact:untimed"}, "MISSING_TIMESTAMP"), ({"artifact_id": "artifact:lost", "subject_mention": "Nobody"}, "MISSING_ARTIFACT"),
+        ({"subject_mention": "Nobody"}, "INVALID_SUBJECT"), ({"object_mention": "Twofold"}, "INVALID_OBJECT"), ({"predicate": "BLOCKS"}, "UNSUPPORTED_ENTITY_PAIR"), ({"confidence": 2.0}, "CONTRACT_VIOLATION"), ({"confidence": 2.0, "predicate": "BLOCKS"}, "UNSUPPORTED_ENTITY_PAIR"),
+        ({"observed_at": "2024-01-01T24:00:00"}, "INVALID_TIMESTAMP"),
+    ]
+    schema = "claim_id string, artifact_id string, subject_mention string, predicate string, object_mention string, observed_at string, valid_from string, valid_to string, confidence double, extraction_method string, evidence_span string"
+    df = spark.createDataFrame([tuple((good | c).values()) + (i, "e") for i, (c, _) in enumerate(cases)], f"{schema}, n int, mention string")
+    names = spark.createDataFrame([("Ann", "person:ann", "Person"), ("Acme", "account:acme", "Account"), ("Acme", "account:acme", "Account"), ("Twofold", "account:a", "Account"), ("Twofold", "account:b", "Account")], "mention string, entity string, label string")
+    there = spark.createDataFrame([("artifact:a", "2024-01-01"), ("artifact:a", None), ("artifact:untimed", None)], "id string, time string")
+    got = {r.n: r for r in K.gate(df, names, there).collect()}
+    assert [got[i].status for i in range(len(cases))] == [c for _, c in cases] and got[0].mention == "e"
+    assert (got[0].subject_id, got[0].object_id, got[0].timestamp_source, got[8].timestamp_source) == ("person:ann", "account:acme", "claim", "artifact")
+    assert K.gate(df.limit(0), names, there).count() == 0
+    good_rows, bad = K.loaded(df.where("n < 2"), K.claim_rules(), "claim_id")
+    assert good_rows.count() == 1 and [r.reason for r in bad.collect()] == ["claim_id,subject_mention"]
+    assert {r.reason for r in K.loaded(df.where("n in (0, 11)"), K.claim_rules(), "claim_id")[1].collect()} == {"duplicate"}
 
 
 SIDE = "struct<mention:string,type:string,emails:array<string>,external_ids:array<string>>"
