@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factweave.operators import claims as C
 from factweave.operators import graph as G
 from factweave.operators import state as S
+from factweave.operators import temporal as X
 from factweave.plans.answers import ClaimGraph
 from factweave.sources.tables import table
 
@@ -45,22 +46,60 @@ def probes(spark, folder):
     ).distinct()
 
 
+def shared_claims(spark, folder):
+    """Claims of the orders whose artifacts hold some forty orders each, with names of their subjects."""
+    number = F.floor(F.split_part("artifact_id", F.lit(":"), F.lit(2)).cast("long") / 40)
+    named = F.concat(F.lit("Person-"), F.split_part("subject_id", F.lit(":"), F.lit(2)))
+    return C.order_claims(spark, folder).withColumns({"artifact_id": F.concat(F.lit("batch:"), number), "subject_name": named})
+
+
+def shared_chain(spark, folder):
+    number = F.split_part("artifact_id", F.lit(":"), F.lit(2)).cast("long")
+    source = F.element_at(F.array(F.lit("Slack"), F.lit("Gmail"), F.lit("Jira")), (number % 3 + 1).cast("int"))
+    return shared_claims(spark, folder).withColumns({"source_id": source, "source_name": source, "kind": F.lit("batch")})
+
+
+def _asked():
+    """Twelve kinds of questions, dealt to the accounts."""
+    k, name, person = F.col("c_custkey"), F.concat(F.lit("Account-"), F.col("c_custkey")), F.concat(F.lit("Person-"), F.col("c_custkey") % 97)
+    kinds = [
+        ("Who owns ", name, " now?"), ("Who maintains ", name, f" as of {DAY}?"), ("Who actually owns ", name, "?"), ("Who previously owned ", name, "?"), ("Who owned ", name, f" before {DAY}?"), ("Who maintains ", name, f" after {DAY}?"),
+        ("Who owned ", name, f" during {DAY}?"), ("Which source shows who owned ", name, "?"), ("Does gmail or jira show who owned ", name, "?"), ("Who else appears with ", person, "?"), ("Is 'Account-4' the same as '", name, "'?"),
+    ]
+    text = None
+    for no, (a, b, c) in enumerate(kinds):
+        one = F.concat(F.lit(a), b, F.lit(c))
+        text = F.when(k % 12 == no, one) if text is None else text.when(k % 12 == no, one)
+    return text.otherwise(F.concat(F.lit("Who owned "), name, F.lit(" before "), person, F.lit("?")))
+
+
 def answers(spark, folder):
-    """A question about every account: who owns it now, who did on a day, who actually does."""
+    """A question about every account, on every route."""
     c = table(spark, folder, "customer").select("c_custkey")
-    name = F.concat(F.lit("Account-"), F.col("c_custkey"))
-    text = (
-        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("Who owns "), name, F.lit(" now?")))
-        .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Who maintains "), name, F.lit(f" as of {DAY}?")))
-        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("Who actually owns "), name, F.lit("?")))
-        .otherwise(F.concat(F.lit("Who previously owned "), name, F.lit("?")))
-    )
-    names = c.select(name.alias("mention"), F.concat(F.lit("account:"), F.col("c_custkey")).alias("entity"))
-    return ClaimGraph(C.order_claims(spark, folder), names).answer(c.select(F.col("c_custkey").alias("question_id"), text.alias("question")))
+    names = c.select(F.concat(F.lit("Account-"), F.col("c_custkey")).alias("mention"), F.concat(F.lit("account:"), F.col("c_custkey")).alias("entity"))
+    people = spark.range(97).select(F.concat(F.lit("Person-"), F.col("id")).alias("mention"), F.concat(F.lit("person:"), F.col("id")).alias("entity"))
+    g = ClaimGraph(shared_claims(spark, folder), names.unionByName(people), shared_chain(spark, folder))
+    return g.answer(c.select(F.col("c_custkey").alias("question_id"), _asked().alias("question")))
+
+
+def named_probes(spark, folder):
+    c = table(spark, folder, "customer").select("c_custkey")
+    return c.select(F.col("c_custkey").alias("probe_id"), F.concat(F.lit("account:"), F.col("c_custkey")).alias("object_id"), F.lit("OWNS").alias("predicate"), F.concat(F.lit("person-"), F.col("c_custkey") % 10).alias("reference"))
+
+
+def presence(spark, folder):
+    return named_probes(spark, folder).select("probe_id", "object_id", "predicate", F.when(F.col("probe_id") % 2 == 0, "Does slack or Gmail show it?").otherwise("Where is it?").alias("question"))
 
 
 QUERIES = {
     "M10_answers": answers,
+    "D08_before_many": lambda s, d: S.before_many(C.order_claims(s, d), probes(s, d)),
+    "D09_first_start": lambda s, d: X.started(shared_claims(s, d), named_probes(s, d)),
+    "D11_anchor_in_claims": lambda s, d: X.anchored(shared_claims(s, d), named_probes(s, d)),
+    "D10_anchor_in_texts": lambda s, d: X.dated_mentions(table(s, d, "documents").select(F.col("created_at").cast("date").alias("day"), "text"), table(s, d, "claims_checkpoint50").select(F.col("claim_id").alias("probe_id"), F.col("object_mention").alias("reference")).distinct()),
+    "F08_owners": over(lambda c: X.owners(S.history(c))),
+    "M08_source_presence": lambda s, d: X.source_presence(shared_chain(s, d), presence(s, d)).select("probe_id", F.array_join("sources", ",").alias("sources")),
+    "M13_current_owner": over(lambda c: ClaimGraph(c, None).current_owner().select("object_id", "subject_id")),
     "F01_current_state": over(S.current),
     "D07_as_of": over(S.as_of, DAY),
     "D07_as_of_many": lambda s, d: S.as_of_many(C.order_claims(s, d), probes(s, d)),
@@ -114,18 +153,39 @@ def _one(order: str, where: str, rank: int) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY {order}) AS rn FROM claims WHERE {where}) WHERE rn = {rank})"
 
 
+_SHARED = _W.rstrip().removesuffix(")") .replace("claims AS (", "claims0 AS (") + """), claims AS (SELECT * REPLACE ('batch:' || (CAST(split_part(artifact_id, ':', 2) AS BIGINT) // 40) AS artifact_id), 'Person-' || split_part(subject_id, ':', 2) AS subject_name,
+  ['slack', 'gmail', 'jira'][CAST((CAST(split_part(artifact_id, ':', 2) AS BIGINT) // 40) % 3 AS INTEGER) + 1] AS source FROM claims0)"""
+
 ORACLES = {
-    "M10_answers": f"""{_W}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS {_one("observed_at DESC, valid_from DESC, claim_id DESC", "true", 1)}, e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
+    "M10_answers": f"""{_SHARED}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS {_one("observed_at DESC, valid_from DESC, claim_id DESC", "true", 1)}, e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
         st AS (SELECT e.object_id, e.predicate, l.subject_id, CASE WHEN k = 1 OR disjoint OR "strict" THEN 'stands' ELSE 'conflict' END AS state FROM e JOIN d USING (object_id, predicate) JOIN s USING (object_id, predicate) JOIN l USING (object_id, predicate)),
-        n AS {_one("valid_from DESC, claim_id DESC", "valid_to = DATE '9999-12-31'", 1)}, p AS {_one("valid_from DESC, observed_at DESC, claim_id DESC", "true", 2)},
-        t AS {_one("valid_from DESC, claim_id DESC", f"valid_from <= DATE '{DAY}' AND valid_to > DATE '{DAY}'", 1)},
-        q AS (SELECT c_custkey AS question_id, CASE c_custkey % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'as_of' WHEN 2 THEN 'conflict' ELSE 'previous' END AS route, 'account:' || c_custkey AS entity,
-          CASE WHEN c_custkey % 4 = 1 THEN 'MAINTAINS' ELSE 'OWNS' END AS predicate, CASE WHEN c_custkey % 4 = 1 THEN DATE '{DAY}' END AS day FROM customer),
-        a AS (SELECT q.*, CASE route WHEN 'current' THEN n.subject_id WHEN 'as_of' THEN t.subject_id WHEN 'previous' THEN p.subject_id ELSE CASE WHEN st.state = 'stands' THEN st.subject_id END END AS subject_id, st.state FROM q
-          LEFT JOIN n ON n.object_id = entity AND n.predicate = q.predicate LEFT JOIN t ON t.object_id = entity AND t.predicate = q.predicate
-          LEFT JOIN p ON p.object_id = entity AND p.predicate = q.predicate LEFT JOIN st ON st.object_id = entity AND st.predicate = q.predicate)
-        SELECT question_id, route, entity, predicate, day, CASE WHEN subject_id IS NOT NULL THEN 'found' WHEN route = 'conflict' AND state = 'conflict' THEN 'conflict' ELSE 'absent' END AS status, subject_id,
-          CASE WHEN subject_id IS NOT NULL THEN CASE WHEN route IN ('current', 'as_of') THEN 0.96 ELSE 0.9 END END::DOUBLE AS confidence FROM a""",
+        n AS {_one("valid_from DESC, claim_id DESC", "valid_to = DATE '9999-12-31'", 1)}, p AS {_one("valid_from DESC, observed_at DESC, claim_id DESC", "true", 2)}, o AS {_one("observed_at DESC, claim_id DESC", "true", 1)},
+        q AS (SELECT c_custkey AS question_id, CASE c_custkey % 12 WHEN 0 THEN 'current' WHEN 1 THEN 'as_of' WHEN 2 THEN 'conflict' WHEN 3 THEN 'previous' WHEN 4 THEN 'before' WHEN 5 THEN 'after' WHEN 6 THEN 'interval' WHEN 7 THEN 'provenance'
+            WHEN 8 THEN 'source_presence' WHEN 9 THEN 'cooccurrence' WHEN 10 THEN 'entity_pair' ELSE 'before' END AS route,
+          CASE c_custkey % 12 WHEN 9 THEN 'person:' || (c_custkey % 97) WHEN 10 THEN 'account:4' ELSE 'account:' || c_custkey END AS entity, CASE WHEN c_custkey % 12 IN (1, 5) THEN 'MAINTAINS' ELSE 'OWNS' END AS predicate, c_custkey % 12 AS no FROM customer),
+        fs AS (SELECT question_id, min(valid_from) AS day FROM q JOIN claims c ON c.object_id = entity AND c.predicate = q.predicate AND contains(lower(subject_name), 'person-' || (question_id % 97)) WHERE no = 11 GROUP BY 1),
+        pr AS (SELECT question_id, entity, q.predicate, no, CASE WHEN no = 11 THEN fs.day ELSE DATE '{DAY}' END AS day FROM q LEFT JOIN fs USING (question_id) WHERE no IN (1, 4, 5, 6, 11)),
+        pc AS (SELECT pr.question_id, pr.day, no, c.*, valid_from <= pr.day AND valid_to > pr.day AS holds, valid_from <= pr.day - 1 AND valid_to > pr.day - 1 AS held, valid_to < pr.day AS ended FROM pr JOIN claims c ON c.object_id = entity AND c.predicate = pr.predicate),
+        t AS (SELECT question_id, subject_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY valid_from DESC, claim_id DESC) AS rn FROM pc WHERE holds AND no IN (1, 5, 6)) WHERE rn = 1
+          UNION ALL SELECT question_id, subject_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY held DESC, CASE WHEN held THEN valid_from ELSE valid_to END DESC, claim_id DESC) AS rn FROM pc WHERE (held OR ended) AND no IN (4, 11)) WHERE rn = 1),
+        src AS (SELECT object_id, predicate, list_sort(list_distinct(list(source))) AS sources FROM claims GROUP BY 1, 2), co AS (SELECT a.subject_id, list_sort(list_distinct(list(b.subject_id))) AS others FROM claims a JOIN claims b ON a.artifact_id = b.artifact_id AND a.subject_id <> b.subject_id GROUP BY 1),
+        a AS (SELECT q.*, CASE WHEN no IN (1, 4, 5, 6, 11) THEN pr.day END AS day, CASE no WHEN 0 THEN n.subject_id WHEN 2 THEN CASE WHEN st.state = 'stands' THEN st.subject_id END WHEN 3 THEN p.subject_id WHEN 7 THEN o.subject_id WHEN 8 THEN NULL WHEN 9 THEN NULL WHEN 10 THEN NULL ELSE t.subject_id END AS subject_id, st.state,
+          CASE no WHEN 7 THEN sources WHEN 8 THEN list_filter(sources, lambda x: x IN ('gmail', 'jira')) WHEN 9 THEN others WHEN 10 THEN [CASE WHEN question_id = 4 THEN 'same' ELSE 'different' END] END AS names FROM q LEFT JOIN (SELECT question_id, day FROM pr) pr USING (question_id) LEFT JOIN t USING (question_id)
+          LEFT JOIN n ON n.object_id = q.entity AND n.predicate = q.predicate LEFT JOIN p ON p.object_id = q.entity AND p.predicate = q.predicate LEFT JOIN o ON o.object_id = q.entity AND o.predicate = q.predicate LEFT JOIN st ON st.object_id = q.entity AND st.predicate = q.predicate
+          LEFT JOIN src ON src.object_id = q.entity AND src.predicate = q.predicate LEFT JOIN co ON co.subject_id = q.entity),
+        r AS (SELECT *, CASE WHEN (names IS NULL AND subject_id IS NOT NULL) OR len(names) > 0 THEN 'found' WHEN no = 2 AND state = 'conflict' THEN 'conflict' ELSE 'absent' END AS status FROM a)
+        SELECT question_id, route, entity, predicate, CASE WHEN subject_id IS NOT NULL OR (no IN (1, 4, 5, 6, 11) AND day IS NOT NULL) THEN day END AS day, status, subject_id,
+          CASE WHEN status = 'found' THEN CASE WHEN route IN ('previous', 'conflict') THEN 0.9 WHEN route = 'before' THEN 0.94 ELSE 0.96 END END::DOUBLE AS confidence,
+          CASE status WHEN 'found' THEN coalesce(array_to_string(names, ', '), subject_id) WHEN 'conflict' THEN 'conflict' ELSE 'unknown' END AS answer FROM r""",
+    "D08_before_many": _W + """, probes AS (SELECT DISTINCT o_orderkey AS probe_id, 'account:' || o_custkey AS object_id, CASE o_orderkey % 3 WHEN 0 THEN 'OWNS' WHEN 1 THEN 'MAINTAINS' ELSE 'LEADS' END AS predicate, CAST(o_orderdate AS DATE) + 30 AS day FROM orders),
+        m AS (SELECT p.*, c.subject_id, c.valid_from, c.valid_to, c.claim_id, c.valid_from <= day - 1 AND c.valid_to > day - 1 AS held FROM probes p LEFT JOIN claims c ON c.object_id = p.object_id AND c.predicate = p.predicate AND ((c.valid_from <= day - 1 AND c.valid_to > day - 1) OR c.valid_to < day))
+        SELECT probe_id, object_id, predicate, day, subject_id, valid_from, claim_id FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY held DESC NULLS LAST, CASE WHEN held THEN valid_from ELSE valid_to END DESC, claim_id DESC) AS rn FROM m) WHERE rn = 1""",
+    "D09_first_start": f"{_SHARED} SELECT c_custkey AS probe_id, min(valid_from) AS day FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' AND contains(lower(subject_name), 'person-' || (c_custkey % 10)) GROUP BY 1",
+    "D11_anchor_in_claims": f"{_SHARED} SELECT c_custkey AS probe_id, max(valid_from) AS day FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' AND contains(lower(subject_name), 'person-' || (c_custkey % 10)) GROUP BY 1",
+    "D10_anchor_in_texts": "WITH a AS (SELECT DISTINCT claim_id AS probe_id, lower(trim(object_mention)) AS anchor FROM claims_checkpoint50 WHERE trim(object_mention) <> ''), m AS (SELECT anchor, max(CAST(created_at AS DATE)) AS day FROM documents, (SELECT DISTINCT anchor FROM a) WHERE created_at IS NOT NULL AND contains(lower(text), anchor) GROUP BY 1) SELECT probe_id, day FROM a JOIN m USING (anchor)",
+    "F08_owners": f"{_W}, h AS (SELECT *, row_number() OVER ({_SEQ}) AS seq FROM claims), g AS (SELECT *, lead(subject_id) OVER (PARTITION BY object_id, predicate ORDER BY seq) AS nx FROM h) SELECT object_id, predicate, row_number() OVER (PARTITION BY object_id, predicate ORDER BY seq DESC) AS turn, subject_id FROM g WHERE nx IS DISTINCT FROM subject_id",
+    "M08_source_presence": f"{_SHARED} SELECT c_custkey AS probe_id, array_to_string(list_filter(list_sort(list_distinct(list(source))), lambda x: c_custkey % 2 = 1 OR x IN ('slack', 'gmail')), ',') AS sources FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' GROUP BY 1",
+    "M13_current_owner": f"SELECT object_id, subject_id FROM ({_top("valid_to = DATE '9999-12-31'", "valid_from DESC, claim_id DESC")}) WHERE predicate = 'OWNS'",
     "F01_current_state": _top("valid_to = DATE '9999-12-31'", "valid_from DESC, claim_id DESC"),
     "D07_as_of": _top(f"valid_from <= DATE '{DAY}' AND valid_to > DATE '{DAY}'", "valid_from DESC, claim_id DESC"),
     "D07_as_of_many": _W + """, probes AS (SELECT DISTINCT o_orderkey AS probe_id, 'account:' || o_custkey AS object_id,

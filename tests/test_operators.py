@@ -130,3 +130,26 @@ def test_prf_without_anything(spark):
     assert (r.tp, r.precision, r.recall, r.f1) == (0, 0.0, 0.0, 0.0)
     some = none.unionByName(spark.createDataFrame([("a",), ("a",)], "item string"))
     assert V.prf(some, some.select(F.lit("b").alias("item"))).first().f1 == 0.0
+
+
+def test_routes_do_not_answer_from_each_other(spark):
+    from factweave.plans.answers import ClaimGraph
+
+    c = log(spark, [("1", "person:1", "OWNS", "account:acme", D(2024, 1, 1), D(2024, 1, 1), D(2024, 6, 1)), ("2", "person:2", "OWNS", "account:acme", D(2024, 6, 1), D(2024, 6, 1), END)])
+    names = spark.createDataFrame([("Acme", "account:acme"), ("Ann", "person:1"), ("Both", "a"), ("Both", "b")], "mention string, entity string")
+    c = c.withColumn("subject_name", F.when(F.col("subject_id") == "person:1", "Ann Lee").otherwise("Bob Ray")).withColumn("artifact_id", F.lit("x"))
+    chain = c.withColumns({"source_id": F.lit("s"), "source_name": F.when(F.col("claim_id") == "1", "Slack").otherwise("Gmail"), "kind": F.lit("k")})
+    texts = spark.createDataFrame([(D(2024, 2, 1), "The big OUTAGE came"), (None, "outage"), (D(2024, 9, 1), None)], "day date, text string")
+    asked = {
+        "Who had ownership of Acme before 2024-03-01?": ("before", "found", "person:1"), "Who owned Acme before 2023-01-01?": ("before", "absent", None), "Who owned Acme during 2024-03-01?": ("interval", "found", "person:1"),
+        "Who owned Acme after 2024-07-01?": ("after", "found", "person:2"), "Which source shows who owns Acme?": ("provenance", "found", "person:2"), "Does slack show who owns Acme?": ("source_presence", "found", None),
+        "Does jira show who owns Acme?": ("source_presence", "absent", None), "Who else appears with Ann?": ("cooccurrence", "found", None), "Who owned Acme before Bob?": ("before", "found", "person:1"), "Who owned Acme after the handoff?": ("after", "found", "person:2"),
+        "Who owned Acme before the outage?": ("before", "found", "person:1"), "Who owns Nothing now?": ("current", "absent", None), "Is 'Acme' the same as 'Ann'?": ("entity_pair", "found", None), "Who owns Both now?": ("current", "absent", None), "": ("current", "absent", None), None: ("current", "absent", None),
+    }
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "question_id int, question string")
+    got = {r.question_id: r for r in ClaimGraph(c, names, chain).answer(q, texts).collect()}
+    assert len(got) == len(asked)
+    for i, (t, want) in enumerate(asked.items()):
+        assert (got[i].route, got[i].status, got[i].subject_id) == want, (t, got[i])
+    assert [got[i].answer for i in (5, 7, 12, 11)] == ["slack", "person:2", "different", "unknown"]
+    assert got[0].confidence == 0.94 and got[11].confidence is None
