@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import UNSEEN
 
-# Lines after which a mail only quotes.
-QUOTE_MARKS = r"(?m)^(?:>.*|On .{5,80} wrote:.*|-{2,} ?Original Message ?-{2,}.*|From: .*)$"
+# How a line begins after which a mail only quotes.
+QUOTE_MARKS = r"(?mi)^[ \t]*(?:>|On .+ wrote:[ \t]*$|-{2,}[ \t]*Original Message[ \t]*-{2,}|_{5,}[ \t]*$|From:[ \t].+)"
 
 
 def slack_time(ts: Column) -> Column:
@@ -20,14 +20,6 @@ def slack_time(ts: Column) -> Column:
     return F.concat(F.date_from_unix_date(days).cast("string"), clock)
 
 
-def slug_time(slug: Column) -> Column:
-    """Day in a file name: epoch seconds of nine or ten digits, else ``yyyy[-mm[-dd]]`` filled up with 01."""
-    epoch = F.regexp_extract(slug, r"(?<!\d)(\d{9,10})(?!\d)", 1)
-    part = F.regexp_extract(slug, r"(?<!\d)((?:19|20)\d{2}(?:-\d{2}){0,2})(?!\d)", 1)
-    full = F.when(F.length(part) == 4, F.concat(part, F.lit("-01-01"))).when(F.length(part) == 7, F.concat(part, F.lit("-01"))).otherwise(part)
-    return F.when(epoch != "", F.date_from_unix_date(F.floor(epoch.try_cast("long") / 86400).cast("int"))).otherwise(full.try_cast("date"))
-
-
 def mentions(text: Column) -> Column:
     """Chat user ids and ``@names``, once each, in order."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"<@[A-Z0-9]+>|(?<![\w.])@[\w.-]{2,64}"), F.lit(0)))
@@ -55,12 +47,11 @@ def address(value: Column) -> tuple[Column, Column]:
 def split_quoted(body: Column) -> tuple[Column, Column]:
     """New and quoted part of a mail at the first quoting line; if nothing is new, all of it is."""
     text = F.coalesce(body, F.lit(""))
-    mark = F.regexp_extract(text, QUOTE_MARKS, 0)
-    at = F.when(mark != "", F.position(mark, text))
-    new = F.when(at.isNotNull(), F.rtrim(F.substring(text, F.lit(1), at - 1))).otherwise(text)
-    quoted = F.when(at.isNotNull(), F.substring(text, at, F.length(text)))
-    empty = F.regexp_replace(new, r"\s+", "") == ""
-    return F.when(empty, text).otherwise(new), F.when(~empty, quoted)
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    before = F.split(text, QUOTE_MARKS, 2)[0]
+    new, quoted = bare(before), bare(F.substring(text, F.length(before) + 1, F.length(text)))
+    marked, empty = text.rlike(QUOTE_MARKS), new == ""
+    return F.when(marked & ~empty, new).otherwise(text), F.when(marked & ~empty, quoted)
 
 
 def strip_html(html: Column) -> Column:

@@ -64,7 +64,8 @@ def lexicon(spark, folder):
 
 
 def html_text(spark, folder):
-    page = F.concat(F.lit("<html><style>p{}</style><p>"), F.coalesce("title", F.lit("")), F.lit("</p> <script>x()</script><b>"), F.col("doc_id").cast("string"), F.lit("</b>&nbsp;&lt;ok&gt;</html>"))
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><style>p{}</style><p class=x>"), safe, F.lit("</p> <script>x()</script><b>"), F.col("doc_id").cast("string"), F.lit("</b>&nbsp;&lt;ok&gt;</html>"))
     return documents(spark, folder).select("doc_id", N.strip_html(page).alias("text"))
 
 
@@ -89,10 +90,9 @@ QUERIES = {
     "B03_artifact_ids": lambda s, d: artifacts(s, d).select("source", "source_id").distinct().select("source", "source_id", C.artifact_id(F.col("source"), F.col("source_id")).alias("made_id")),
     "B08_mention_keys": lambda s, d: claims(s, d).select("claim_id", mention_key(F.col("subject_mention")).alias("subject_key"), mention_key(F.col("object_mention")).alias("object_key")).distinct(),
     "B10_claim_ids": lambda s, d: claims(s, d).select(C.short_hash(*[F.col(c) for c in ("artifact_id", "subject_mention", "predicate", "object_mention")]).alias("made_id")).groupBy("made_id").agg(F.count(F.lit(1)).alias("rows")),
-    "B04_slug_times": lambda s, d: documents(s, d).select("doc_id", N.slug_time(F.concat(F.lit("notes-"), F.date_format("created_at", "yyyy-MM"), F.lit("-x"))).alias("day")),
     "B07_mail_headers": mail_headers,
     "B11_slack_times": lambda s, d: chats(s, d).select("message_id").distinct().select("message_id", N.slack_time(F.col("message_id")).alias("at")),
-    "B12_mentions": lambda s, d: artifacts(s, d).select("id", F.array_join(N.mentions(F.array_join("metadata.mentions", " and ")), ",").alias("mentions")).where("mentions <> ''").distinct(),
+    "B12_mentions": lambda s, d: artifacts(s, d).select("id", F.array_join(N.mentions(F.concat_ws(" ", F.array_join("metadata.mentions", " "), "content")), ",").alias("mentions")).where("mentions <> ''").distinct(),
     "B12_links": lambda s, d: documents(s, d).select("doc_id", F.array_join(N.links(F.col("text")), ",").alias("links")).where("links <> ''"),
     "B13_thread_text": threads,
     "B18_quoted_history": quoted,
@@ -144,10 +144,9 @@ ORACLES = {
     "B03_artifact_ids": "SELECT DISTINCT source, source_id, 'dsid_' || left(sha256(source || '|' || source_id), 32) AS made_id FROM artifacts",
     "B08_mention_keys": f"SELECT DISTINCT claim_id, {_S} AS subject_key, {_O} AS object_key FROM {_CL}",
     "B10_claim_ids": f"SELECT left(sha256(coalesce(artifact_id, '') || '|' || coalesce(subject_mention, '') || '|' || coalesce(predicate, '') || '|' || coalesce(object_mention, '')), 16) AS made_id, count(*) AS rows FROM {_CL} GROUP BY 1",
-    "B04_slug_times": "SELECT doc_id, CAST(date_trunc('month', created_at) AS DATE) AS day FROM documents",
     "B11_slack_times": "SELECT DISTINCT metadata.message_id AS message_id, strftime(make_timestamp(CAST(floor(CAST(metadata.message_id AS DOUBLE)) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM artifacts WHERE source = 'slack'",
     "B12_links": r"SELECT * FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, 'https?://[^\s<>|)\]]+'), lambda x: regexp_replace(x, '[.,;:!?]+$', '')), ',') AS links FROM documents) WHERE links <> ''",
-    "B22_html_text": "SELECT doc_id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g') || ' ' || doc_id || ' <ok>') AS text FROM documents",
+    "B22_html_text": "SELECT doc_id, trim(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || ' ' || doc_id || ' <ok>') AS text FROM documents",
     "C15_prefix_filter": "SELECT doc_id FROM documents WHERE starts_with(account_key, 'account:b')",
     "E04_mention_inventory": f"""WITH m AS (SELECT subject_mention AS mention, 'subject' AS role, claim_id, artifact_id, extraction_method AS method FROM {_CL} UNION ALL SELECT object_mention, 'object', claim_id, artifact_id, extraction_method FROM {_CL})
       SELECT {_K.format('mention')} AS key, role, count(*) AS frequency, count(DISTINCT claim_id) AS claims, count(DISTINCT artifact_id) AS artifacts, count(DISTINCT method) AS methods FROM m WHERE NOT {_BLANK.format('mention')} GROUP BY 1, 2""",
