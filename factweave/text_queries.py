@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.text import mention_key, thread_key
 from factweave.operators import claims as C
+from factweave.operators import contract
 from factweave.operators import extract as X
 from factweave.operators import inventory as V
 from factweave.operators import normalize as N
@@ -60,7 +61,7 @@ def decomposed(spark, folder):
 def lexicon(spark, folder):
     """Objects of claims found in the documents."""
     entries = claims(spark, folder).select(mention_key(F.col("object_mention")).alias("entity"), mention_key(F.col("object_mention")).alias("phrase")).where("length(entity) >= 3").distinct()
-    return X.lexicon_matches(documents(spark, folder).select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content")), entries).select("artifact_id", "entity")
+    return X.lexicon_matches(documents(spark, folder).select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content")), entries).select("artifact_id", "entity", "word_at")
 
 
 def html_text(spark, folder):
@@ -91,7 +92,7 @@ QUERIES = {
     "B08_mention_keys": lambda s, d: claims(s, d).select("claim_id", mention_key(F.col("subject_mention")).alias("subject_key"), mention_key(F.col("object_mention")).alias("object_key")).distinct(),
     "B10_claim_ids": lambda s, d: claims(s, d).select(C.short_hash(*[F.col(c) for c in ("artifact_id", "subject_mention", "predicate", "object_mention")]).alias("made_id")).groupBy("made_id").agg(F.count(F.lit(1)).alias("rows")),
     "B07_mail_headers": mail_headers,
-    "B11_slack_times": lambda s, d: chats(s, d).select("message_id").distinct().select("message_id", N.slack_time(F.col("message_id")).alias("at")),
+    "B11_slack_times": lambda s, d: chats(s, d).select("message_id").distinct().select("message_id", N.slack_time(F.col("message_id")).alias("word_at")),
     "B12_mentions": lambda s, d: artifacts(s, d).select("id", F.array_join(N.mentions(F.concat_ws(" ", F.array_join("metadata.mentions", " "), "content")), ",").alias("mentions")).where("mentions <> ''").distinct(),
     "B12_links": lambda s, d: documents(s, d).select("doc_id", F.array_join(N.links(F.col("text")), ",").alias("links")).where("links <> ''"),
     "B13_thread_text": threads,
@@ -120,8 +121,10 @@ QUERIES = {
     "A14_latest_status": statuses,
     "M01_decompose": decomposed,
     "D25_lexicon": lexicon,
-    "K01_mentions": lambda s, d: X.mentions(artifacts(s, d).select("id", "content").distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("raw_text").alias("texts")),
-    "K02_claims": lambda s, d: X.claims(artifacts(s, d).select("id", "content").distinct()).select("claim_id", "artifact_id", "subject_mention", "predicate", "object_mention", "confidence"),
+    "K01_mentions": lambda s, d: X.mentions(artifacts(s, d).select("id", "source", "content").distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("raw_text").alias("texts")),
+    "K02_claims": lambda s, d: X.claims(artifacts(s, d).select("id", "title", "content").distinct()).select("artifact_id", "subject_mention", "predicate", "object_mention", "confidence"),
+    "B10_made_claims": lambda s, d: X.claims(artifacts(s, d).select("id", "title", "content").distinct()).select("claim_id", C.short_hash(F.col("artifact_id"), F.col("subject_mention"), F.col("predicate"), F.col("object_mention")).alias("again")),
+    "B09_mentions": lambda s, d: X.mentions(artifacts(s, d).select("id", "source", "content").distinct()).where("type = 'ticket'").select("artifact_id", "raw_text", "span_start", "span_end", "context").distinct(),
 }
 
 _K = "lower(trim(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '^@', '')))"
@@ -140,7 +143,24 @@ def _prf(by: str) -> str:
       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1 FROM n"""
 
 
+_NOT = "(" + ", ".join(f"'{w}'" for w in contract.NO_ENTITY) + ")"
+
+
+def _found(no: int) -> str:
+    predicate, pattern, s, o, confidence = X.CLAIM_PATTERNS[no]
+    p = pattern.replace("'", "''")
+    side = lambda g, missing: f"trim(unnest(regexp_extract_all(content, '{p}', {g})))" if g else f"coalesce(nullif(trim(title), ''), '{missing}')"
+    # Both groups of a match are unnested side by side.
+    return f"SELECT id AS artifact_id, {side(s, X.NO_SUBJECT)} AS s, '{predicate}' AS predicate, {side(o, X.NO_OBJECT)} AS o, {confidence}::DOUBLE AS confidence FROM a"
+
+
 ORACLES = {
+    "K02_claims": f"""WITH a AS (SELECT DISTINCT id, title, content FROM artifacts WHERE content IS NOT NULL), f AS ({" UNION ALL ".join(map(_found, range(len(X.CLAIM_PATTERNS))))})
+      SELECT artifact_id, s AS subject_mention, predicate, o AS object_mention, max(confidence) AS confidence FROM f WHERE length(s) >= 3 AND length(o) >= 3 AND lower(s) NOT IN {_NOT} AND lower(o) NOT IN {_NOT} GROUP BY ALL""",
+    "B10_made_claims": f"""WITH a AS (SELECT DISTINCT id, title, content FROM artifacts WHERE content IS NOT NULL), f AS ({" UNION ALL ".join(map(_found, range(len(X.CLAIM_PATTERNS))))}),
+      h AS (SELECT DISTINCT left(sha256(artifact_id || '|' || s || '|' || predicate || '|' || o), 16) AS claim_id FROM f WHERE length(s) >= 3 AND length(o) >= 3 AND lower(s) NOT IN {_NOT} AND lower(o) NOT IN {_NOT}) SELECT claim_id, claim_id AS again FROM h""",
+    "D25_lexicon": f"""WITH e AS (SELECT DISTINCT {_O} AS entity FROM {_CL} WHERE length({_O}) >= 3), p AS (SELECT entity, regexp_extract_all(lower(entity), '[\\p{{L}}\\p{{N}}]+') AS p FROM e), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+      x AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) SELECT CAST(doc_id AS VARCHAR) AS artifact_id, entity, CAST(min(i) AS INTEGER) AS word_at FROM x JOIN p ON p[1] = word AND list_slice(w, i, i + len(p) - 1) = p GROUP BY ALL""",
     "B03_artifact_ids": "SELECT DISTINCT source, source_id, 'dsid_' || left(sha256(source || '|' || source_id), 32) AS made_id FROM artifacts",
     "B08_mention_keys": f"SELECT DISTINCT claim_id, {_S} AS subject_key, {_O} AS object_key FROM {_CL}",
     "B10_claim_ids": f"SELECT left(sha256(coalesce(artifact_id, '') || '|' || coalesce(subject_mention, '') || '|' || coalesce(predicate, '') || '|' || coalesce(object_mention, '')), 16) AS made_id, count(*) AS rows FROM {_CL} GROUP BY 1",
