@@ -130,6 +130,15 @@ def _state_on_disk(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: A root whose time is more than this ahead of the clock is no time of sending; it would close all other conversations.
+AHEAD = "1 day"
+
+
+def plausible(rows: DataFrame, ahead: str = AHEAD) -> Column:
+    """Whether a row's root lies no further ahead of the clock than ``ahead``."""
+    return F.col("root_at") <= F.current_timestamp() + F.expr(f"interval {ahead}")
+
+
 def run(rows: DataFrame, at: str, close_after: str = CLOSE_AFTER, bounded_input: bool = True) -> str:
     """Runs the streaming job over ``rows`` (a stream of ``messages``), returns its output folder.
 
@@ -137,10 +146,16 @@ def run(rows: DataFrame, at: str, close_after: str = CLOSE_AFTER, bounded_input:
     validates them and writes the result; both writes overwrite, so a batch that is repeated
     after a failure leaves one result. All of a bounded input is one micro-batch, so its order
     is free and nothing is late; an end mark then closes what is open. With
-    ``bounded_input=False`` nothing is closed before its time, and rows that come more than
-    ``close_after`` behind the newest root are late and belong to a closed conversation.
+    ``bounded_input=False`` nothing is closed before its time: a conversation ends ``close_after``
+    behind the newest root. Rows that come later belong to a closed one; ``late`` lists them.
+    Rows whose root is ahead of the clock never move the watermark; they go to ``refused``. A
+    job that is started again in the same folder goes on where it stopped.
     """
     spark = rows.sparkSession
+    if not bounded_input:
+        ahead = rows.where(~plausible(rows)).writeStream.format("parquet").option("path", f"{at}/refused").option("checkpointLocation", f"{at}/refused-state")
+        ahead.trigger(availableNow=True).start().awaitTermination()
+        rows = rows.where(plausible(rows))
     if bounded_input:
         mark = spark.range(1).select(*[
             (F.lit(END_MARK).cast("timestamp") if f.name == "root_at" else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -164,9 +179,25 @@ def run(rows: DataFrame, at: str, close_after: str = CLOSE_AFTER, bounded_input:
             .start()
         )
         query.awaitTermination()
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p["eventTime"] or {})]
+    if marks:
+        spark.createDataFrame([(max(marks),)], "watermark string").write.mode("append").parquet(f"{at}/watermarks")
     return f"{at}/out"
 
 
+def late(arrived: DataFrame, at: str) -> DataFrame:
+    """The rows of ``arrived`` (``messages`` read as a table) that a job in folder ``at`` did not take in time.
+
+    Their conversation's time has passed the watermark, but no conversation that was closed
+    holds them: they came after it had been closed. What is still open is not late.
+    """
+    spark = arrived.sparkSession
+    mark = spark.read.schema("watermark string").parquet(f"{at}/watermarks").agg(F.max("watermark").cast("timestamp").alias("m")).first()["m"]
+    taken = spark.read.schema(MESSAGE).option("recursiveFileLookup", "true").parquet(f"{at}/closed").select("channel_id", "thread", "message_id").distinct()
+    passed = arrived.where(F.col("root_at") <= F.lit(mark))
+    return passed.join(taken, ["channel_id", "thread", "message_id"], "left_anti").select(*arrived.columns)
+
+
 RESULT = "channel_id string, thread string, turn_no int, artifact_id string, role string"
 
 

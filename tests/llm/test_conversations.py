@@ -74,6 +74,41 @@ def test_long_conversation_is_numbered_whole(spark):
     assert got[0][2] == "a-big-0" and got[-1][2] == f"a{n}"
 
 
+def thread(ch, at, n, start=0, author="U"):
+    """``n`` messages of a conversation that begins ``at`` seconds; ``start`` is the first one of this part."""
+    root = f"{at}.000000"
+    return [(f"a-{ch}-{i}", "slack", "2025-02-19T21:20:00Z", "#c\nAnn Bee: x", (f"{at + i}.000000", ch, root, None, f"{author}{i}", "Ann Bee", n - 1 if i == 0 else 0), "") for i in range(start, n)]
+
+
+DAY = 86_400
+
+
+def test_many_batches_with_late_rows_and_a_root_ahead_of_the_clock(spark):
+    first, later = 1_600_000_000, 1_600_000_000 + 200 * DAY
+    parts = [
+        thread("early", first, 4)[:2] + thread("ahead", 9_999_999_000, 3),  # the rest of `early` comes in the next part
+        thread("early", first, 4, 2) + thread("mid", first + 50 * DAY, 3),
+        thread("new", later, 3),  # moves the watermark past `early` and `mid`
+        thread("lost", first + 10 * DAY, 3) + thread("mid", first + 50 * DAY, 4, 3),  # too late
+        thread("next", later + 95 * DAY, 3),
+    ]
+    root = shared_dir(spark, "many")
+    places = spark.createDataFrame([], "workspace_id string, date_order string")
+    for no, rows in enumerate(parts):  # the job is started again for every part, and goes on where it stopped
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        schema = spark.read.parquet(f"{root}/in").schema
+        out = C.run(C.messages(spark.readStream.schema(schema).parquet(f"{root}/in"), places), f"{root}/job", bounded_input=False)
+    found = spark.read.schema(C.RESULT).option("recursiveFileLookup", "true").parquet(out).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.channel_id, []).append(r.turn_no)
+    assert {k: sorted(v) for k, v in got.items()} == {"early": [1, 2, 3, 4], "mid": [1, 2, 3], "new": [1, 2, 3]}
+    arrived = C.messages(spark.read.parquet(f"{root}/in"), places)
+    assert {(r.channel_id, r.artifact_id) for r in C.late(arrived.where(C.plausible(arrived)), f"{root}/job").collect()} == {("lost", f"a-lost-{i}") for i in range(3)} | {("mid", "a-mid-3")}
+    refused = spark.read.parquet(f"{root}/job/refused")
+    assert {r.channel_id for r in refused.collect()} == {"ahead"}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     places = spark.createDataFrame([], "workspace_id string, date_order string")
