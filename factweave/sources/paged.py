@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -19,11 +20,15 @@ def register(name: str, fetch: Fetch) -> None:
 
 
 def jsonl_pages(options: dict, cursor: str | None, limit: int) -> list[tuple[str, dict]]:
-    """The built-in connector: records of a JSON-lines file, by their ``position`` field."""
+    """The built-in connector: records of a JSON-lines file, by their ``position`` field.
+
+    The file is read line by line and no more than a page of it is held.
+    """
     field = options.get("position", "position")
     with open(options["path"], encoding="utf-8") as f:
-        rows = sorted((str(r[field]), r) for r in map(json.loads, filter(str.strip, f)))
-    return [x for x in rows if cursor is None or x[0] > cursor][:limit]
+        rows = ((str(r[field]), no, r) for no, r in enumerate(map(json.loads, filter(str.strip, f))))
+        page = heapq.nsmallest(limit, (x for x in rows if cursor is None or x[0] > cursor), key=lambda x: x[:2])
+    return [(p, r) for p, _, r in page]
 
 
 _CONNECTORS["jsonl"] = jsonl_pages
@@ -81,6 +86,13 @@ class _StreamReader(SimpleDataSourceStreamReader):
         return iter(rows), {"cursor": page[-1][0] if page else start["cursor"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for p, r in self.fetch(self.options, start["cursor"], 10**9):
-            if end["cursor"] is not None and p <= end["cursor"]:
+        cursor, size = start["cursor"], int(self.options.get("page", "500"))
+        while end["cursor"] is not None:
+            page = self.fetch(self.options, cursor, size)
+            for p, r in page:
+                if p > end["cursor"]:
+                    return
                 yield p, json.dumps(r, sort_keys=True)
+            if len(page) < size:
+                return
+            cursor = page[-1][0]

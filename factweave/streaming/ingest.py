@@ -111,18 +111,40 @@ def ingested(stream: DataFrame, make: Callable[[DataFrame], DataFrame], ok: str)
 
 
 def windowed(stream: DataFrame, time: str, length: str, late: str, by: str) -> DataFrame:
-    """``window_start, by, n``: rows per tumbling window, emitted once the watermark has passed it.
+    """``window_start, by, n``: rows per tumbling window, each window once, after the watermark has passed it.
 
-    At the end of a bounded input the windows that are still open are emitted as well.
+    When the bounded input has ended, a mark far ahead closes the windows that are still open:
+    the job is started again where it stopped and reads just the mark. Rows that come ``late``
+    behind the newest are not counted.
     """
     spark = stream.sparkSession
     at = shared_dir(spark, "windows")
-    counted = stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
-    counted.writeStream.outputMode("update").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(
-        lambda batch, no: batch.withColumn("batch", F.lit(no)).write.mode("overwrite").parquet(f"{at}/out/{no}")
-    ).start().awaitTermination()
-    emitted = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
-    return emitted.groupBy("window_start", by).agg(F.max_by("n", "batch").alias("n"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name not in (time, by)]
+    mark = spark.range(1).select(F.lit("9000-01-01").cast(stream.schema[time].dataType).alias(time), F.lit(None).cast(stream.schema[by].dataType).alias(by), *none).select(*stream.columns)
+    mark.limit(0).write.parquet(f"{at}/mark")
+    both = stream.union(spark.readStream.schema(stream.schema).parquet(f"{at}/mark"))
+    counted = both.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
+
+    def once() -> None:
+        counted.writeStream.outputMode("append").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(
+            lambda batch, no: batch.write.mode("overwrite").parquet(f"{at}/out/{no}")
+        ).start().awaitTermination()
+
+    once()
+    mark.write.mode("append").parquet(f"{at}/mark")
+    once()
+    # The mark's own window never closes.
+    return spark.read.schema(counted.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+
+
+def looked_up(stream: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Every event with the record it names (stream-static join); events without a record stay, with nulls."""
+    return stream.join(records, key, "left")
+
+
+def unique_soon(stream: DataFrame, time: str, within: str, *keys: str) -> DataFrame:
+    """The first of events with the same keys that come within ``within`` of each other; state is forgotten after that."""
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
