@@ -118,7 +118,24 @@ _F = f"""p AS (SELECT pair_id, first(a) AS a, first(b) AS b, max(label) AS label
     CASE regexp_replace(upper(trim(label)), '[^A-Z]+', '_', 'g') WHEN 'SAME' THEN 'SAME_ENTITY' WHEN 'SAME_ENTITY' THEN 'SAME_ENTITY' WHEN 'DIFFERENT' THEN 'DIFFERENT_ENTITY' WHEN 'DIFFERENT_ENTITY' THEN 'DIFFERENT_ENTITY' WHEN 'UNCERTAIN' THEN 'UNCERTAIN' END AS gold FROM de)"""
 _NS = "CASE WHEN len(a_tokens) = 0 OR len(b_tokens) = 0 THEN NULL WHEN a_tokens = b_tokens THEN 1.0::DOUBLE ELSE shared / len(list_distinct(list_concat(a_tokens, b_tokens))) END"
 
+_REC = """r0 AS (SELECT DISTINCT pair_id, a, b, label FROM phase3_identity_pairs), r1 AS (SELECT unnest([a, b]) AS x FROM p), r2 AS (SELECT list_filter(x.external_ids, lambda y: starts_with(y, 'mention:'))[1] AS key, x.mention AS mention, x.type AS type, coalesce(x.emails, []) AS emails, coalesce(x.external_ids, []) AS ids FROM r1),
+  rec AS (SELECT key, min(mention) AS mention, min(type) AS type, list_distinct(flatten(list(emails))) AS emails, list_distinct(flatten(list(ids))) AS ids FROM r2 GROUP BY 1)"""
+_M = "lower(trim(coalesce(mention, '')))"
+_KEYS = f"""k0 AS (SELECT *, list_filter(list_transform(list_append(emails, mention), lambda e: lower(trim(e))), lambda e: regexp_matches(e, '{_EM}') AND NOT {_ISROLE.format('e')}) AS boxes, lower(regexp_replace(trim(mention), '^@', '')) AS u, lower(type) = 'username' AS isu,
+    list_sort(list_distinct(list_filter(string_split_regex(CASE WHEN regexp_matches({_M}, '{_EM}') AND {_ISROLE.format(_M)} THEN '' WHEN regexp_matches({_M}, '{_EM}') THEN split_part({_M}, '@', 1) ELSE regexp_replace({_M}, '{_SUF}', '') END, '[^a-z0-9]+'), lambda t: t <> ''))) AS t FROM rec),
+  k1 AS (SELECT *, list_transform(boxes, lambda e: {_LOC.format('e')}) AS locals_, CASE WHEN isu THEN [u] ELSE [] END AS users, CASE WHEN isu AND {_BASE.format('u')} <> '' THEN [{_BASE.format('u')}] ELSE [] END AS bases FROM k0),
+  k2 AS (SELECT key, list_sort(list_distinct(list_filter(flatten([list_transform(boxes, lambda x: 'e:' || x), list_transform(locals_, lambda x: 'l:' || x), list_transform(users, lambda x: 'u:' || x), list_transform(bases, lambda x: 'b:' || x),
+    list_transform(list_filter(list_transform(ids, lambda x: lower(trim(x))), lambda x: x <> '' AND NOT starts_with(x, 'mention:')), lambda x: 'x:' || x), list_transform(t, lambda x: 't:' || x), CASE WHEN len(t) > 0 THEN ['n:' || array_to_string(t, ' ')] ELSE [] END,
+    list_transform(list_concat(list_transform(locals_, lambda x: replace(x, '.', '')), list_concat(list_transform(users, lambda x: replace(x, '.', '')), bases)), lambda x: 'c:' || x)]), lambda x: x IS NOT NULL))) AS keys FROM k1),
+  rep AS (SELECT key, min(key) OVER (PARTITION BY keys) AS rep, keys FROM k2)"""
+
 ORACLES = {
+    "D17_representatives": f"WITH {_F}, {_REC}, {_KEYS} SELECT key, rep FROM rep",
+    "D17_blocking": f"WITH {_F}, {_REC}, {_KEYS}, e AS (SELECT DISTINCT rep, unnest(keys) AS k FROM rep) SELECT a.rep AS key_a, b.rep AS key_b, count(*) AS shared_keys FROM e a JOIN e b ON a.k = b.k AND a.rep < b.rep GROUP BY 1, 2",
+    "J07_clusters": f"""WITH RECURSIVE {_F}, ed AS (SELECT list_filter(a.external_ids, lambda y: starts_with(y, 'mention:'))[1] AS u, list_filter(b.external_ids, lambda y: starts_with(y, 'mention:'))[1] AS v, decision, score, len(a_emails) AS ea, len(b_emails) AS eb FROM d), nd AS (SELECT u AS n FROM ed UNION SELECT v FROM ed),
+      m AS (SELECT u, v FROM ed WHERE decision = 'MERGE' UNION SELECT v, u FROM ed WHERE decision = 'MERGE'), w AS (SELECT n, n AS o FROM nd UNION SELECT w.n, m.v FROM w JOIN m ON w.o = m.u), c1 AS (SELECT n, min(o) AS c FROM w GROUP BY 1),
+      rv AS (SELECT x.c AS u, y.c AS v FROM ed JOIN c1 x ON x.n = u JOIN c1 y ON y.n = v WHERE decision = 'REVIEW' AND score >= 0.8), rb AS (SELECT u, v FROM rv UNION SELECT v, u FROM rv), w2 AS (SELECT DISTINCT c AS n, c AS o FROM c1 UNION SELECT w2.n, rb.v FROM w2 JOIN rb ON w2.o = rb.u), c2 AS (SELECT n, min(o) AS c FROM w2 GROUP BY 1),
+      an AS (SELECT u AS n FROM ed WHERE ea > 0 UNION SELECT v FROM ed WHERE eb > 0), hd AS (SELECT DISTINCT c2.c FROM an JOIN c1 USING (n) JOIN c2 ON c2.n = c1.c) SELECT c1.n AS node, CASE WHEN c2.c IN (SELECT c FROM hd) THEN c2.c ELSE c1.c END AS cluster FROM c1 JOIN c2 ON c2.n = c1.c""",
     "J04_features": f"WITH {_F} SELECT pair_id, email_match, email_username_match, external_id_match, username_match, shared, round({_NS}, 6) AS name_similarity FROM f",
     "J05_scores": f"WITH {_F} SELECT pair_id, score, signals FROM sc",
     "J06_decisions": f"WITH {_F} SELECT pair_id, decision FROM d",

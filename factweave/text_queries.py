@@ -120,6 +120,7 @@ QUERIES = {
     "D26_orphan_claims": lambda s, d: claims(s, d).join(artifacts(s, d).select(F.col("id").alias("artifact_id")), "artifact_id", "left_anti").select("claim_id").distinct(),
     "A14_latest_status": statuses,
     "M01_decompose": decomposed,
+    "M01_intents": lambda s, d: decomposed(s, d).select("question_id", "intent", "predicates"),
     "D25_lexicon": lexicon,
     "K01_mentions": lambda s, d: X.mentions(artifacts(s, d).select("id", "source", "content").distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("raw_text").alias("texts")),
     "K02_claims": lambda s, d: X.claims(artifacts(s, d).select("id", "title", "content").distinct()).select("artifact_id", "subject_mention", "predicate", "object_mention", "confidence"),
@@ -154,7 +155,30 @@ def _found(no: int) -> str:
     return f"SELECT id AS artifact_id, {side(s, X.NO_SUBJECT)} AS s, '{predicate}' AS predicate, {side(o, X.NO_OBJECT)} AS o, {confidence}::DOUBLE AS confidence FROM a"
 
 
+_UNSEEN = r"[\s\p{Z}\p{Cf}\p{Cc}]"
+_HEAD = "trim(nullif(regexp_extract(content, '(?mi)^{}:[ \\t]*(\\S[^\\n]*)$', 1), ''))"
+_MARK = N.QUOTE_MARKS.replace("'", "''")
+_MAILS = "(SELECT DISTINCT id, content FROM artifacts WHERE source = 'gmail' AND content IS NOT NULL)"
+_ROWS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PREDS = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.HINTS) + "]"
+_THREAD = f"regexp_replace(regexp_replace(metadata.thread_id, '{_UNSEEN}+', '', 'g'), '^[pP](\\d{{10}})(\\d{{6}})$', '\\1.\\2')"
+_TEXT = "ltrim(regexp_replace(regexp_replace(content, '^\\s*#[^\\n]*', ''), '^\\s+', ''))"
+_STRIP = "CASE WHEN starts_with(x, trim({0}) || ':') THEN substr(x, length(trim({0})) + 2)"
+
 ORACLES = {
+    "B07_mail_headers": f"""WITH h AS (SELECT id, {_HEAD.format('From')} AS f, {_HEAD.format('Subject')} AS s FROM {_MAILS}), a AS (SELECT id, coalesce(s, '') AS subject, coalesce(lower(regexp_extract(f, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+')), '') AS sender, trim(replace(regexp_replace(coalesce(f, ''), '<[^>]*>', '', 'g'), '"', '')) AS n FROM h)
+      SELECT id, subject, sender, CASE WHEN n <> '' AND (sender = '' OR lower(n) <> sender) THEN n ELSE '' END AS sender_name FROM a""",
+    "B13_thread_text": f"""WITH t AS (SELECT metadata.channel_id AS channel_id, {_THREAD} AS k, trim(metadata.thread_id) AS raw, metadata.message_id AS message_id, author, metadata.author_display_name AS n, {_TEXT} AS x FROM artifacts WHERE source = 'slack'),
+      r AS (SELECT DISTINCT channel_id, CASE WHEN regexp_matches(k, '^\\d{{10}}(\\.\\d{{0,6}})?$') THEN left(k, 10) || '.' || rpad(substr(k, 12, 6), 6, '0') ELSE nullif(raw, '') END AS thread_id, message_id, author, {_STRIP.format('n')} {_STRIP.format('author').replace('CASE ', '')} ELSE x END AS b FROM t),
+      l AS (SELECT channel_id, thread_id, message_id, coalesce(author, 'unknown') || ': ' || trim({_ROWS.format('b')}) AS line FROM r WHERE thread_id IS NOT NULL AND regexp_replace(b, '{_UNSEEN}+', '', 'g') <> '')
+      SELECT channel_id, thread_id, string_agg(line, chr(10) ORDER BY message_id, line) AS text FROM l GROUP BY ALL""",
+    "B18_quoted_history": f"""WITH b AS (SELECT id, regexp_replace(content, '(?s)^.*?\\n\\n', '') AS t FROM {_MAILS}), p AS (SELECT id, t, regexp_matches(t, '{_MARK}') AS q, string_split_regex(t, '{_MARK}')[1] AS before FROM b),
+      n AS (SELECT id, t, q, {_ROWS.format('before')} AS new, {_ROWS.format('substr(t, length(before) + 1)')} AS old FROM p) SELECT id, length(CASE WHEN q AND new <> '' THEN new ELSE t END) AS new_chars, CASE WHEN q AND new <> '' THEN length(old) ELSE 0 END AS quoted_chars FROM n""",
+    "C08_artifact_problems": """WITH a AS (SELECT *, lower(source) = 'slack' AS chat, lower(source) = 'gmail' AS mail FROM artifacts) SELECT concat_ws(',', CASE WHEN NOT coalesce(regexp_matches(id, '^dsid_[0-9a-f]{32}$'), false) THEN 'id' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source' END, CASE WHEN trim(coalesce(content, '')) = '' THEN 'content' END,
+      CASE WHEN chat AND trim(coalesce(metadata.channel_id, '')) = '' THEN 'channel_id' END, CASE WHEN (chat OR mail) AND trim(coalesce(metadata.message_id, '')) = '' THEN 'message_id' END, CASE WHEN mail AND trim(coalesce(metadata.thread_id, '')) = '' THEN 'thread_id' END) AS problems, count(*) AS rows FROM a GROUP BY 1""",
+    "E05_quality": f"""WITH d AS (SELECT lower(source) AS source, coalesce(text, '') AS t FROM documents), n AS (SELECT source, count(*) AS records, count(*) FILTER (regexp_replace(t, '\\s+', '', 'g') = '') AS blank, CAST(min(length(t)) AS INTEGER) AS shortest, CAST(max(length(t)) AS INTEGER) AS longest,
+      {", ".join(f"CAST(sum(len(regexp_extract_all(t, '{p}'))) AS BIGINT) AS {n}" for n, p in V.QUALITY.items())} FROM d GROUP BY 1), c AS (SELECT source, CAST(sum(k - 1) AS BIGINT) AS copies FROM (SELECT source, t, count(*) AS k FROM d WHERE regexp_replace(t, '\\s+', '', 'g') <> '' GROUP BY 1, 2) GROUP BY 1) SELECT n.*, coalesce(copies, 0) AS copies FROM n LEFT JOIN c USING (source)""",
+    "M01_intents": f"SELECT question_id, {_INTENT} AS intent, array_to_string(list_filter({_PREDS}, lambda x: x IS NOT NULL), '|') AS predicates FROM retrieval_questions",
     "K02_claims": f"""WITH a AS (SELECT DISTINCT id, title, content FROM artifacts WHERE content IS NOT NULL), f AS ({" UNION ALL ".join(map(_found, range(len(X.CLAIM_PATTERNS))))})
       SELECT artifact_id, s AS subject_mention, predicate, o AS object_mention, max(confidence) AS confidence FROM f WHERE length(s) >= 3 AND length(o) >= 3 AND lower(s) NOT IN {_NOT} AND lower(o) NOT IN {_NOT} GROUP BY ALL""",
     "B10_made_claims": f"""WITH a AS (SELECT DISTINCT id, title, content FROM artifacts WHERE content IS NOT NULL), f AS ({" UNION ALL ".join(map(_found, range(len(X.CLAIM_PATTERNS))))}),
