@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators.claims import OPEN_END
+from factweave.operators.claims import OPEN_END, OPEN_START
 from factweave.plans import blocks, sharded
 
 KEY = ["object_id", "predicate"]
@@ -111,23 +111,28 @@ def before(claims: DataFrame, day: str) -> DataFrame:
     return claims.where(held | ended).groupBy(*KEY).agg(top.alias("top")).select(*KEY, "top.*")
 
 
+def _in_order(claims: DataFrame) -> DataFrame:
+    """Adds what a history is ordered by: an unknown start comes last, an unknown observation first."""
+    start = F.coalesce("valid_from", F.lit(OPEN_END).cast("date"))
+    seen = F.coalesce("observed_at", F.lit(OPEN_START).cast("date"))
+    return claims.withColumns({"__start": start, "__seen": seen, "__year": F.year(start)})
+
+
 def history(claims: DataFrame) -> DataFrame:
-    """All claims of a key numbered from 1 by (start, observation, id)."""
-    years = claims.withColumn("__year", F.year("valid_from"))
-    order = [F.col("valid_from"), F.col("observed_at"), F.col("claim_id")]
-    return sharded.row_number(years, KEY, "__year", order, "seq").select(*KEY, "seq", *STATE)
+    """All claims of a key numbered from 1 by (start, observation, id); see ``_in_order`` for nulls."""
+    order = [F.col("__start"), F.col("__seen"), F.col("claim_id")]
+    return sharded.row_number(_in_order(claims), KEY, "__year", order, "seq").select(*KEY, "seq", *STATE)
 
 
 def _sequence(claims: DataFrame, bring: list[str], ahead: bool, prefix: str) -> DataFrame:
-    years = claims.withColumn("__year", F.year("valid_from"))
-    return sharded.neighbour(years, KEY, "__year", ["valid_from", "observed_at", "claim_id"], bring, ahead, prefix)
+    return sharded.neighbour(_in_order(claims), KEY, "__year", ["__start", "__seen", "claim_id"], bring, ahead, prefix)
 
 
 def previous(claims: DataFrame) -> DataFrame:
     """The last but one claim of the history of a key, whoever is its subject."""
-    first = claims.groupBy(*KEY).agg(F.max(F.struct("valid_from", "observed_at", "claim_id")).alias("__last"))
-    rest = claims.join(first, KEY).where(F.struct("valid_from", "observed_at", "claim_id") < F.col("__last"))
-    return _best(rest, ["valid_from", "observed_at", "claim_id"], STATE)
+    rows, at = _in_order(claims), F.struct("__start", "__seen", "claim_id")
+    last = rows.groupBy(*KEY).agg(F.max(at).alias("__last"))
+    return _best(rows.join(last, KEY).where(at < F.col("__last")), ["__start", "__seen", "claim_id"], STATE)
 
 
 def after_event(claims: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def after_event(claims: DataFrame) -> DataFrame:
     led = _sequence(claims, ["subject_id", "valid_from", "claim_id"], True, "next_")
     ends = (F.col("valid_to") != F.lit(OPEN_END).cast("date")) & F.col("next_claim_id").isNotNull()
     turns = F.col("next_subject_id") != F.col("subject_id")
-    order = F.struct("valid_from", "observed_at", "claim_id")
+    order = F.struct("__start", "__seen", "claim_id")
     row = F.struct(F.col("next_subject_id").alias("subject_id"), F.col("next_valid_from").alias("valid_from"), F.col("next_claim_id").alias("claim_id"))
     per = led.groupBy(*KEY).agg(
         F.min_by(F.when(ends, row), F.when(ends, order)).alias("a"), F.min_by(F.when(turns, row), F.when(turns, order)).alias("b")
@@ -144,9 +149,9 @@ def after_event(claims: DataFrame) -> DataFrame:
 
 
 def disjoint(claims: DataFrame) -> DataFrame:
-    """``disjoint``: whether each claim of a key ends before the next, by observation, begins."""
-    by = claims.withColumn("__year", F.year("observed_at"))
-    led = sharded.neighbour(by, KEY, "__year", ["observed_at", "valid_from", "claim_id"], ["valid_from"], True, "next_")
+    """``disjoint``: whether each claim of a key ends before the next, by observation, begins; see ``_in_order``; an unknown start breaks nothing."""
+    by = _in_order(claims).withColumn("__year", F.year("__seen"))
+    led = sharded.neighbour(by, KEY, "__year", ["__seen", "__start", "claim_id"], ["valid_from"], True, "next_")
     return led.groupBy(*KEY).agg(F.bool_and(F.coalesce(F.col("next_valid_from") >= F.col("valid_to"), F.lit(True))).alias("disjoint"))
 
 
@@ -163,7 +168,7 @@ def contradictions(claims: DataFrame) -> DataFrame:
     when the second begins where the first ends (the comparison is not symmetric on purpose).
     The pairs of a key are its result; a key with very many claims is met block by block.
     """
-    rows = claims.where("claim_id is not null").select(*KEY, "claim_id", "subject_id", "valid_from", "valid_to", F.struct("observed_at", "claim_id").alias("at"))
+    rows = claims.where("claim_id is not null").select(*KEY, "claim_id", "subject_id", "valid_from", "valid_to", F.struct(F.coalesce("observed_at", F.lit(OPEN_START).cast("date")), "claim_id").alias("at"))
     met = blocks.paired(rows, KEY, "claim_id", F.expr("a_at < b_at and a_subject_id <> b_subject_id and a_valid_from <= b_valid_to and a_valid_to > b_valid_from"))
     return met.select(*KEY, F.col("a_claim_id").alias("first_id"), F.col("b_claim_id").alias("second_id"), F.col("a_subject_id").alias("first_subject"), F.col("b_subject_id").alias("second_subject"))
 
@@ -181,7 +186,7 @@ def conflict_state(claims: DataFrame) -> DataFrame:
     supersede one another; anything else is a conflict, or has to be reviewed without any time.
     """
     facts = conflicts(claims).join(disjoint(claims), KEY).join(strictly_observed(claims), KEY)
-    last = claims.groupBy(*KEY).agg(F.max_by("subject_id", F.struct("observed_at", "valid_from", "claim_id")).alias("last_subject"), F.bool_or(F.col("observed_at").isNotNull()).alias("timed"))
+    last = _in_order(claims).groupBy(*KEY).agg(F.max_by("subject_id", F.struct("__seen", "__start", "claim_id")).alias("last_subject"), F.bool_or(F.col("observed_at").isNotNull() | F.col("valid_from").isNotNull()).alias("timed"))
     state = (
         F.when(F.col("subjects") == 1, "definitive").when(F.col("disjoint"), "succession").when(F.col("strict"), "superseded").when(F.col("timed"), "conflict").otherwise("review")
     )

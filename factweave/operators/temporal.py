@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from factweave.operators import state
 from factweave.operators.state import KEY
+from factweave.plans import sharded
 from factweave.plans.small import bounded
 
 # Sources that a question can name, and the words of a hand-over.
 SOURCES = ["slack", "gmail", "github", "linear", "jira", "confluence", "fireflies"]
+#: Rows of a history that one task orders.
+SHARD = 100_000
 HANDOFF = ["handoff", "hand off", "taking over", "take over"]
 
 
@@ -79,13 +82,11 @@ def owners(history: DataFrame) -> DataFrame:
 
     ``history`` as ``state.history``. Turn 1 is who holds it last, 2 who did before.
     """
-    from factweave.plans import sharded
-
-    years = history.withColumn("__year", F.year("valid_from"))
-    marked = sharded.neighbour(years, KEY, "__year", ["seq"], ["subject_id"], True, "next_")
-    kept = marked.where(~F.col("subject_id").eqNullSafe(F.col("next_subject_id")))
-    back = kept.withColumn("__back", -F.col("__year")) if "__year" in kept.columns else kept.withColumn("__back", -F.year("valid_from"))
-    return sharded.row_number(back, KEY, "__back", [F.desc("seq")], "turn").select(*KEY, "turn", "subject_id")
+    # The number itself is cut into shards, newest last and then newest first.
+    parts = history.withColumn("__part", F.floor(F.col("seq") / SHARD))
+    marked = sharded.neighbour(parts, KEY, "__part", ["seq"], ["seq", "subject_id"], True, "next_")
+    kept = marked.where(F.col("next_seq").isNull() | ~F.col("subject_id").eqNullSafe(F.col("next_subject_id"))).withColumn("__back", -F.floor(F.col("seq") / SHARD))
+    return sharded.row_number(kept, KEY, "__back", [F.desc("seq")], "turn").select(*KEY, "turn", "subject_id")
 
 
 def at_constraint(claims: DataFrame, asked: DataFrame, texts: DataFrame | None) -> DataFrame:

@@ -89,7 +89,7 @@ QUERIES = {
     "R01_bm25_by_join": lambda s, d: lexical_by_join(s, d).select("question_id", "rank", "doc_id"),
     "E25_token_statistics": token_statistics,
     "R02_dense": nearest,
-    "R03_fused": fused,
+    "F10_fusion": fused,
     "F11_context": contexts,
     "E20_recall": lambda s, d: recalls(s, d).select("question_id", F.round("recall_5", 6).alias("recall_5"), F.round("recall_10", 6).alias("recall_10"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "wanted"),
     "E21_category_breakdown": by_category,
@@ -120,7 +120,7 @@ ORACLES = {
     **{n: f"WITH {_BM} SELECT question_id, rank, doc_id FROM rk WHERE rank <= {POOL}" for n in ("R01_bm25", "R01_bm25_by_join")},
     "E25_token_statistics": f"WITH {_TOK} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM idx GROUP BY token",
     "R02_dense": f"WITH {_VEC} SELECT query_id, vec_id, score, rank FROM nr WHERE rank <= {POOL}",
-    "R03_fused": f"""WITH {_VEC}, lab AS (SELECT a.vec_id AS query_id, b.vec_id AS item, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS INTEGER) AS rank FROM v a JOIN v b USING (label) WHERE a.vec_id % 100 = 0),
+    "F10_fusion": f"""WITH {_VEC}, lab AS (SELECT a.vec_id AS query_id, b.vec_id AS item, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS INTEGER) AS rank FROM v a JOIN v b USING (label) WHERE a.vec_id % 100 = 0),
       both_ AS (SELECT query_id, vec_id AS item, rank FROM nr WHERE rank <= {POOL} UNION ALL SELECT * FROM lab WHERE rank <= {POOL}),
       f AS (SELECT query_id, item, sum(CAST(round(1000000000000.0::DOUBLE / (60 + rank - 1)) AS BIGINT)) AS score FROM both_ GROUP BY ALL)
       SELECT query_id, item, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS INTEGER) AS rank FROM f) WHERE rank <= {POOL}""",

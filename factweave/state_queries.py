@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave.functions.text import mention_key
 from factweave.operators import claims as C
 from factweave.operators import graph as G
 from factweave.operators import state as S
 from factweave.operators import temporal as X
+from factweave.operators.instants import normalize
 from factweave.plans.answers import ClaimGraph
 from factweave.sources.tables import table
+from factweave.time_sql import KEY_SQL, read_sql
 
 DAY = "1998-06-01"
 WEIGHTS = {"order": 3, "lineitem": 2}
@@ -142,10 +145,11 @@ def _top(where: str, order: str) -> str:
     return f"{_W} SELECT {_STATE} FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY {order}) AS rn FROM claims WHERE {where}) WHERE rn = 1"
 
 
-_SEQ = "PARTITION BY object_id, predicate ORDER BY valid_from, observed_at, claim_id"
+_START, _SEEN = "coalesce(valid_from, DATE '9999-12-31')", "coalesce(observed_at, DATE '0001-01-01')"
+_SEQ = f"PARTITION BY object_id, predicate ORDER BY {_START}, {_SEEN}, claim_id"
 _DISJOINT = (
     "SELECT object_id, predicate, bool_and(coalesce(nf >= valid_to, true)) AS disjoint FROM (SELECT *, lead(valid_from) OVER"
-    " (PARTITION BY object_id, predicate ORDER BY observed_at, valid_from, claim_id) AS nf FROM claims) GROUP BY 1, 2"
+    " (PARTITION BY object_id, predicate ORDER BY coalesce(observed_at, DATE '0001-01-01'), coalesce(valid_from, DATE '9999-12-31'), claim_id) AS nf FROM claims) GROUP BY 1, 2"
 )
 _STRICT = 'SELECT object_id, predicate, count(observed_at) = count(*) AND count(DISTINCT observed_at) = count(*) AS "strict" FROM claims GROUP BY 1, 2'
 
@@ -157,7 +161,7 @@ _SHARED = _W.rstrip().removesuffix(")") .replace("claims AS (", "claims0 AS (")
   ['slack', 'gmail', 'jira'][CAST((CAST(split_part(artifact_id, ':', 2) AS BIGINT) // 40) % 3 AS INTEGER) + 1] AS source FROM claims0)"""
 
 ORACLES = {
-    "M10_answers": f"""{_SHARED}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS {_one("observed_at DESC, valid_from DESC, claim_id DESC", "true", 1)}, e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
+    "M10_answers": f"""{_SHARED}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS {_one(f"{_SEEN} DESC, {_START} DESC, claim_id DESC", "true", 1)}, e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
         st AS (SELECT e.object_id, e.predicate, l.subject_id, CASE WHEN k = 1 OR disjoint OR "strict" THEN 'stands' ELSE 'conflict' END AS state FROM e JOIN d USING (object_id, predicate) JOIN s USING (object_id, predicate) JOIN l USING (object_id, predicate)),
         n AS {_one("valid_from DESC, claim_id DESC", "valid_to = DATE '9999-12-31'", 1)}, p AS {_one("valid_from DESC, observed_at DESC, claim_id DESC", "true", 2)}, o AS {_one("observed_at DESC, claim_id DESC", "true", 1)},
         q AS (SELECT c_custkey AS question_id, CASE c_custkey % 12 WHEN 0 THEN 'current' WHEN 1 THEN 'as_of' WHEN 2 THEN 'conflict' WHEN 3 THEN 'previous' WHEN 4 THEN 'before' WHEN 5 THEN 'after' WHEN 6 THEN 'interval' WHEN 7 THEN 'provenance'
@@ -183,7 +187,7 @@ ORACLES = {
     "D09_first_start": f"{_SHARED} SELECT c_custkey AS probe_id, min(valid_from) AS day FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' AND contains(lower(subject_name), 'person-' || (c_custkey % 10)) GROUP BY 1",
     "D11_anchor_in_claims": f"{_SHARED} SELECT c_custkey AS probe_id, max(valid_from) AS day FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' AND contains(lower(subject_name), 'person-' || (c_custkey % 10)) GROUP BY 1",
     "D10_anchor_in_texts": "WITH a AS (SELECT DISTINCT claim_id AS probe_id, lower(trim(object_mention)) AS anchor FROM claims_checkpoint50 WHERE trim(object_mention) <> ''), m AS (SELECT anchor, max(CAST(created_at AS DATE)) AS day FROM documents, (SELECT DISTINCT anchor FROM a) WHERE created_at IS NOT NULL AND contains(lower(text), anchor) GROUP BY 1) SELECT probe_id, day FROM a JOIN m USING (anchor)",
-    "F08_owners": f"{_W}, h AS (SELECT *, row_number() OVER ({_SEQ}) AS seq FROM claims), g AS (SELECT *, lead(subject_id) OVER (PARTITION BY object_id, predicate ORDER BY seq) AS nx FROM h) SELECT object_id, predicate, row_number() OVER (PARTITION BY object_id, predicate ORDER BY seq DESC) AS turn, subject_id FROM g WHERE nx IS DISTINCT FROM subject_id",
+    "F08_owners": f"{_W}, h AS (SELECT *, row_number() OVER ({_SEQ}) AS seq FROM claims), g AS (SELECT *, lead(subject_id) OVER (PARTITION BY object_id, predicate ORDER BY seq) AS nx, lead(seq) OVER (PARTITION BY object_id, predicate ORDER BY seq) AS ns FROM h) SELECT object_id, predicate, row_number() OVER (PARTITION BY object_id, predicate ORDER BY seq DESC) AS turn, subject_id FROM g WHERE ns IS NULL OR nx IS DISTINCT FROM subject_id",
     "M08_source_presence": f"{_SHARED} SELECT c_custkey AS probe_id, array_to_string(list_filter(list_sort(list_distinct(list(source))), lambda x: c_custkey % 2 = 1 OR x IN ('slack', 'gmail')), ',') AS sources FROM customer JOIN claims ON object_id = 'account:' || c_custkey AND predicate = 'OWNS' GROUP BY 1",
     "M13_current_owner": f"SELECT object_id, subject_id FROM ({_top("valid_to = DATE '9999-12-31'", "valid_from DESC, claim_id DESC")}) WHERE predicate = 'OWNS'",
     "F01_current_state": _top("valid_to = DATE '9999-12-31'", "valid_from DESC, claim_id DESC"),
@@ -197,7 +201,7 @@ ORACLES = {
         CASE WHEN h = 1 THEN valid_from ELSE valid_to END DESC, claim_id DESC) AS rn FROM (SELECT *,
         CASE WHEN valid_from <= DATE '{DAY}' - 1 AND valid_to > DATE '{DAY}' - 1 THEN 1 ELSE 0 END AS h FROM claims) WHERE h = 1 OR valid_to < DATE '{DAY}') WHERE rn = 1""",
     "F02_history": f"{_W} SELECT {_STATE}, row_number() OVER ({_SEQ}) AS seq FROM claims",
-    "F03_previous_holder": f"{_W} SELECT {_STATE} FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY valid_from DESC, observed_at DESC, claim_id DESC) AS rn FROM claims) WHERE rn = 2",
+    "F03_previous_holder": f"{_W} SELECT {_STATE} FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY {_START} DESC, {_SEEN} DESC, claim_id DESC) AS rn FROM claims) WHERE rn = 2",
     "F04_after_event": f"""{_W}, led AS (SELECT *, lead(subject_id) OVER ({_SEQ}) AS ns, lead(valid_from) OVER ({_SEQ}) AS nf, lead(claim_id) OVER ({_SEQ}) AS nc, row_number() OVER ({_SEQ}) AS rn FROM claims),
         a AS (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY rn) AS k FROM led WHERE valid_to <> DATE '9999-12-31' AND nc IS NOT NULL),
         b AS (SELECT *, row_number() OVER (PARTITION BY object_id, predicate ORDER BY rn) AS k FROM led WHERE ns <> subject_id)
@@ -206,11 +210,11 @@ ORACLES = {
     "F05_disjoint": f"{_W} {_DISJOINT}",
     "F07_strictly_observed": f"{_W} {_STRICT}",
     "D05_contradictions": _W + """ SELECT a.object_id, a.predicate, a.claim_id AS first_id, b.claim_id AS second_id, a.subject_id AS first_subject, b.subject_id AS second_subject FROM claims a JOIN claims b
-        ON a.object_id = b.object_id AND a.predicate = b.predicate AND (a.observed_at < b.observed_at OR (a.observed_at = b.observed_at AND a.claim_id < b.claim_id))
+        ON a.object_id = b.object_id AND a.predicate = b.predicate AND (coalesce(a.observed_at, DATE '0001-01-01'), a.claim_id) < (coalesce(b.observed_at, DATE '0001-01-01'), b.claim_id)
         AND a.subject_id <> b.subject_id AND a.valid_from <= b.valid_to AND a.valid_to > b.valid_from""",
     "E08_conflicts": f"{_W} SELECT object_id, predicate, count(DISTINCT subject_id) AS subjects, CASE WHEN count(DISTINCT subject_id) > 1 THEN 'conflict' ELSE 'consistent' END AS status FROM claims GROUP BY 1, 2",
     "M05_conflict_state": f"""{_W}, d AS ({_DISJOINT}), s AS ({_STRICT}), l AS (SELECT object_id, predicate, subject_id AS last_subject FROM (SELECT *, row_number() OVER (PARTITION BY object_id, predicate
-        ORDER BY observed_at DESC, valid_from DESC, claim_id DESC) AS rn FROM claims) WHERE rn = 1), e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
+        ORDER BY {_SEEN} DESC, {_START} DESC, claim_id DESC) AS rn FROM claims) WHERE rn = 1), e AS (SELECT object_id, predicate, count(DISTINCT subject_id) AS k FROM claims GROUP BY 1, 2),
         st AS (SELECT e.object_id, e.predicate, l.last_subject, CASE WHEN k = 1 THEN 'definitive' WHEN disjoint THEN 'succession' WHEN "strict" THEN 'superseded' ELSE 'conflict' END AS state
         FROM e JOIN d USING (object_id, predicate) JOIN s USING (object_id, predicate) JOIN l USING (object_id, predicate))
         SELECT object_id, predicate, state, CASE WHEN state <> 'conflict' THEN last_subject END AS subject_id,
@@ -236,3 +240,30 @@ ORACLES = {
     "E02_claims_per_predicate": f"{_W} SELECT predicate, count(*) AS claims FROM claims GROUP BY 1",
     "D30_scope_counts": f"{_W} SELECT object_id, count(*) AS claims, count(DISTINCT artifact_id) AS artifacts FROM claims GROUP BY 1",
 }
+
+
+# ---------------------------------------------------------------- the same over the claims table as it is
+def checkpoint_claims(spark, folder):
+    """The claims of the test tables by their keys, with nulls, unreadable times and repeated facts left as they are."""
+    c = table(spark, folder, "claims_checkpoint50")
+    read = normalize(c, "observed_at", "at")
+    day = lambda name: F.left(F.trim(name), F.lit(10)).try_cast("date")
+    observed = F.date_from_unix_date(F.floor(F.col("at") / 86_400_000_000).cast("int"))
+    start, end = C.bounds(day("valid_from"), day("valid_to"), observed)
+    return read.select(
+        "claim_id", "artifact_id", mention_key(F.col("subject_mention")).alias("subject_id"), F.upper(F.trim("predicate")).alias("predicate"), mention_key(F.col("object_mention")).alias("object_id"),
+        observed.alias("observed_at"), start.alias("valid_from"), end.alias("valid_to"),
+    ).distinct()
+
+
+_CHECKPOINT = f"""{read_sql("SELECT observed_at AS v, 'YMD' AS ord FROM claims_checkpoint50")}, cc AS (SELECT DISTINCT claim_id, artifact_id, {KEY_SQL.format('subject_mention')} AS subject_id, upper(trim(predicate)) AS predicate, {KEY_SQL.format('object_mention')} AS object_id,
+  CAST(make_timestamp(coalesce(i, l)) AS DATE) AS observed_at, try_cast(left(trim(valid_from), 10) AS DATE) AS f, try_cast(left(trim(valid_to), 10) AS DATE) AS t FROM claims_checkpoint50 LEFT JOIN rd ON v = observed_at),
+claims AS (SELECT claim_id, artifact_id, subject_id, predicate, object_id, observed_at, coalesce(f, CASE WHEN t IS NOT NULL THEN DATE '0001-01-01' END, observed_at) AS valid_from, coalesce(t, DATE '9999-12-31') AS valid_to FROM cc)
+"""
+_ON_CHECKPOINT = {
+    "F01_current_state": S.current, "F02_history": S.history, "F05_disjoint": S.disjoint, "F07_strictly_observed": S.strictly_observed, "D05_contradictions": S.contradictions, "E08_conflicts": S.conflicts, "M05_conflict_state": S.conflict_state,
+    "F03_previous_holder": S.previous, "F04_after_event": S.after_event, "F08_owners": lambda c: X.owners(S.history(c)), "D15_export_nodes": G.export_nodes, "D15_export_edges": G.export_edges, "E02_claims_per_predicate": lambda c: c.groupBy("predicate").agg(F.count(F.lit(1)).alias("claims")),
+}
+for _name, _op in _ON_CHECKPOINT.items():
+    QUERIES[f"{_name}_of_claims"] = lambda spark, folder, op=_op: op(checkpoint_claims(spark, folder))
+    ORACLES[f"{_name}_of_claims"] = ORACLES[_name].replace(C.ORDER_CLAIMS_SQL, _CHECKPOINT)

@@ -48,7 +48,8 @@ def utc_sql(zone: str, local: str) -> str:
     return f"epoch_us(CASE WHEN timezone({zone}, {hour}) = make_timestamp({local}) THEN {hour} ELSE {at} END)"
 
 
-_K = "lower(trim(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '^@', '')))"
+#: Key of a mention in SQL; see ``functions.text.mention_key``.
+KEY_SQL = _K = "lower(trim(regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '^@', '')))"
 _CL = "claims_checkpoint50"
 _ISO = "coalesce(strftime(make_timestamp({} // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ'), '9999-12-31')"
 _EMPTY = "regexp_replace(coalesce({}, ''), '\\s+', '', 'g') = ''"
