@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.claims import OPEN_START
 from factweave.operators.state import KEY
-from factweave.plans import blocks
+from factweave.plans import blocks, sharded
 from factweave.plans.small import bounded
 
 
@@ -33,6 +34,25 @@ def edges(claims: DataFrame) -> DataFrame:
     return claims.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.col("predicate").alias("rel"), "valid_from", "valid_to")
 
 
+def edge_history(edges_: DataFrame) -> DataFrame:
+    """``src, dst, rel, seq, valid_from, valid_to``: the periods of one relation between two nodes, numbered in time order."""
+    years = edges_.withColumn("__year", F.year("valid_from"))
+    return sharded.row_number(years, ["src", "dst", "rel"], "__year", [F.col("valid_from"), F.col("valid_to")], "seq").drop("__year")
+
+
+def hops(edges_: DataFrame, outgoing: bool) -> DataFrame:
+    """``node, rel, neighbour``: what each node points to, or what points at it, distinct."""
+    a, b = ("src", "dst") if outgoing else ("dst", "src")
+    return edges_.select(F.col(a).alias("node"), "rel", F.col(b).alias("neighbour")).where("node is not null and neighbour is not null").distinct()
+
+
+def about(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """Claims about some entities (``entities(object_id)``), numbered per key by observation; nulls first."""
+    seen = F.coalesce("observed_at", F.lit(OPEN_START).cast("date"))
+    kept = claims.join(entities.select("object_id").distinct(), "object_id", "left_semi").withColumns({"__seen": seen, "__year": F.year(seen)})
+    return sharded.row_number(kept, KEY, "__year", [F.col("__seen"), F.col("claim_id")], "seq").drop("__seen", "__year")
+
+
 def degree(edges_: DataFrame, outgoing: bool) -> DataFrame:
     """``node, rel, neighbours``: how many different nodes a node points to, or is pointed at by."""
     a, b = ("src", "dst") if outgoing else ("dst", "src")

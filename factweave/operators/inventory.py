@@ -118,3 +118,39 @@ def latency(df: DataFrame, by: str, value: str) -> DataFrame:
         F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"),
         *[F.round(F.percentile(value, p), 4).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
     )
+
+
+def nearest_ranks(df: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """``by, n`` and per share the value at the nearest rank below it (at least the first).
+
+    Values are counted before they are ordered, so a group of any size is as many rows as it has
+    different values; nulls do not count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("c").over(Window.partitionBy(by))
+    placed = counts.withColumns({"__upto": upto, "__n": whole})
+    picks = [F.min(F.when(F.col("__upto") >= F.greatest(F.floor(F.col("__n") * F.lit(p)), F.lit(1)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
+    return placed.groupBy(by).agg(F.max("__n").alias("n"), *picks)
+
+
+def histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """``feature, bin, n``: how many values of features between 0 and 1 lie in each bin; 1 is in the last one."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*").where("value is not null")
+    return long.groupBy("feature", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def size_bucket(length: Column) -> Column:
+    """``short``, ``medium`` or ``long`` by letters."""
+    return F.when(length < 400, "short").when(length > 8000, "long").otherwise("medium")
+
+
+def scanned(docs: DataFrame, by: str, text: str) -> DataFrame:
+    """Per group: files, bytes, shortest, longest, the first six ids, and how many texts hold headers, tickets or addresses."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    firsts = top_per(docs.select(by, "doc_id"), [by], [F.col("doc_id")], 6).groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("first_ids"))
+    counts = docs.groupBy(by).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(F.octet_length(c)).alias("bytes"), F.min(F.length(c)).alias("shortest"), F.max(F.length(c)).alias("longest"),
+        F.count_if(c.rlike(r"(?m)^(From|Date|Subject):")).alias("with_headers"), F.count_if(c.rlike(QUALITY["tickets"])).alias("with_tickets"), F.count_if(c.rlike(QUALITY["emails"])).alias("with_addresses"),
+    )
+    return counts.join(firsts, by)

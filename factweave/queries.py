@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave import contract_queries, evaluation_queries, identity_queries, record_queries, relation_queries, resolution_queries, retrieval_queries, state_queries, store_queries, stream_queries, text_queries
+from factweave import contract_queries, evaluation_queries, identity_queries, more_queries, record_queries, relation_queries, resolution_queries, retrieval_queries, state_queries, store_queries, stream_queries, text_queries
 from factweave.operators import histories, instants, periods
 from factweave.time_sql import P6_SQL, p1_combined_sql, p1_sql
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     **relation_queries.QUERIES,
     **store_queries.QUERIES,
     **evaluation_queries.QUERIES,
+    **more_queries.QUERIES,
 }
 
 P7_SQL = """
@@ -40,4 +41,4 @@ SELECT object_key, 'period' AS kind, strftime(s, '%Y-%m-%d') AS start_day, strft
 UNION ALL SELECT object_key, 'gap', strftime(e, '%Y-%m-%d'), strftime(nx, '%Y-%m-%d') FROM l WHERE nx IS NOT NULL
 """
 
-ORACLES: dict[str, str] = {"p1_found": p1_sql(), "p1_combined": p1_combined_sql(histories.PREDICATES), "p6_found": P6_SQL, "p7_found": P7_SQL, **state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES, **contract_queries.ORACLES, **record_queries.ORACLES, **resolution_queries.ORACLES, **relation_queries.ORACLES, **store_queries.ORACLES, **evaluation_queries.ORACLES}
+ORACLES: dict[str, str] = {"p1_found": p1_sql(), "p1_combined": p1_combined_sql(histories.PREDICATES), "p6_found": P6_SQL, "p7_found": P7_SQL, **state_queries.ORACLES, **retrieval_queries.ORACLES, **identity_queries.ORACLES, **text_queries.ORACLES, **stream_queries.ORACLES, **contract_queries.ORACLES, **record_queries.ORACLES, **resolution_queries.ORACLES, **relation_queries.ORACLES, **store_queries.ORACLES, **evaluation_queries.ORACLES, **more_queries.ORACLES}

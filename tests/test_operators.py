@@ -36,8 +36,9 @@ def test_conflict_kinds(spark):
         o("1", "a", "one", D(2026, 1, 1), D(2026, 1, 1), END), o("2", "a", "one", D(2026, 1, 1), D(2026, 1, 1), END),
         o("3", "a", "later", D(2026, 1, 1), D(2026, 1, 1), END), o("4", "b", "later", D(2026, 1, 2), D(2026, 1, 2), END),
         o("5", "a", "same", D(2026, 1, 1), D(2026, 1, 1), END), o("6", "b", "same", D(2026, 1, 1), D(2026, 1, 1), END), o("7", "a", "none", None, D(2026, 1, 1), END), o("8", "b", "none", None, D(2026, 1, 1), END),
+        o("9", "a", "void", None, None, END), o("10", "b", "void", None, None, END),
     ])
-    assert {r.object_id: r.state for r in S.conflict_state(c).collect()} == {"one": "definitive", "later": "superseded", "same": "conflict", "none": "review"}
+    assert {r.object_id: r.state for r in S.conflict_state(c).collect()} == {"one": "definitive", "later": "superseded", "same": "conflict", "none": "conflict", "void": "succession"}  # a start is a time as well; unknown starts overlap nothing
 
 
 def test_contract(spark):
