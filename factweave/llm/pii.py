@@ -74,6 +74,7 @@ def _known(words: list[str]) -> dict[str, set[str]]:
     out: dict[str, set[str]] = {"F": set(), "L": set(), "f": set(), "l": set(), "s": set(), "T": set(), "N": set()}
     for w in words:
         out[w[0]].add(w[2:])
+    out["fl"] = out["f"] | out["l"]
     return out
 
 
@@ -287,7 +288,7 @@ def names_of(text: str, taken: list[tuple[int, int]], lex: dict) -> Iterator[tup
             yield a, b, None
         else:
             yield a, b, f"{P.before(text, a, lex['F'], lex['L'])} _ {P.after(text, b, lex['F'], lex['L'])}"
-    for w in {x.rstrip(",") for x in text.split()} & (firsts | lasts):
+    for w in {x.rstrip(",") for x in text.split()} & lex["fl"]:
         if not w.islower():
             continue
         at = text.find(w)
