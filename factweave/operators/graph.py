@@ -29,6 +29,19 @@ def cooccurring(claims: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array(F.struct(F.col("a_subject_id").alias("subject_id"), F.col("b_subject_id").alias("other_id")), F.struct(F.col("b_subject_id").alias("subject_id"), F.col("a_subject_id").alias("other_id")))).alias("x")).select("x.*")
 
 
+def cooccurring_with(claims: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``subject_id, other_id`` of ``cooccurring`` for some subjects (``subjects(subject_id)``) only.
+
+    Their artifacts are found first; subjects of very many artifacts, and artifacts of very many
+    subjects, are equality joins that adaptive execution splits.
+    """
+    one = claims.select("artifact_id", "subject_id").where("subject_id is not null and artifact_id is not null")
+    asked = subjects.where("subject_id is not null").distinct()
+    own = one.join(bounded(asked), "subject_id", "left_semi").distinct()
+    met = own.join(one.select("artifact_id", F.col("subject_id").alias("other_id")).distinct().hint("merge"), "artifact_id")
+    return met.where("subject_id <> other_id").select("subject_id", "other_id").distinct()
+
+
 def edges(claims: DataFrame) -> DataFrame:
     """``src, dst, rel, valid_from, valid_to`` of every claim: each keeps its own period."""
     return claims.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.col("predicate").alias("rel"), "valid_from", "valid_to")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.operators import state
 from factweave.operators.state import KEY
 from factweave.plans import sharded
+from factweave.plans.lineage import stored
 from factweave.plans.small import bounded
 
 # Sources that a question can name, and the words of a hand-over.
@@ -109,6 +110,7 @@ def at_constraint(claims: DataFrame, asked: DataFrame, texts: DataFrame | None)
         days = days.unionByName(dated_mentions(texts, rest).select("probe_id", "day", F.lit(2).alias("way")))
     days = days.groupBy("probe_id").agg(F.min_by("day", "way").alias("found"))
     dated = parts.join(days, "probe_id", "left").withColumn("day", F.coalesce("own", "found")).where("day is not null").select("probe_id", *KEY, "kind", "day")
+    dated = stored(dated, "dated-probes")  # read by both lookups and by what they find
     on = state.as_of_many(claims, dated.where("kind <> 'before'")).select("probe_id", "day", "subject_id")
     until = state.before_many(claims, dated.where("kind = 'before'")).select("probe_id", "day", "subject_id")
     found = dated.select("probe_id", "kind").join(on.unionByName(until), "probe_id")

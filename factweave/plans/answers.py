@@ -9,6 +9,7 @@ from factweave.functions.text import mention_key
 from factweave.operators import graph, identity, questions, state, temporal
 from factweave.operators.state import KEY
 from factweave.plans.lineage import stored
+from factweave.plans.small import bounded
 
 # How sure an answer of each route is.
 CONFIDENCE = {
@@ -95,6 +96,10 @@ class ClaimGraph:
         q = stored(parts.select("question_id", "question", "route", "predicate", "value").join(first, "question_id", "left"), "questions")
 
         key, found = ["object_id", "predicate"], []
+        # Only what is asked about is computed: claims and evidence of other keys are dropped first.
+        wanted = bounded(q.where("object_id is not null").select(*key).distinct())
+        claims = stored(self.claims.join(wanted, key, "left_semi"), "asked-claims")
+        g = ClaimGraph(claims, self.names, None if self.chain is None else stored(self.chain.join(wanted, key, "left_semi"), "asked-evidence"))
         one = F.array("subject_id")
 
         def answered(route: str, rows: DataFrame, names: Column = one, subject: Column | None = None, status: Column | None = None, day: Column | None = None) -> None:
@@ -108,19 +113,21 @@ class ClaimGraph:
             return q.where(F.col("route") == route)
 
         none = F.lit(None).cast("string")
-        answered("current", on("current").join(self.current().select(*key, "subject_id"), key))
-        answered("previous", on("previous").join(state.previous(self.claims).select(*key, "subject_id"), key))
-        decided = self.conflicts().select(*key, "subject_id", "state")
+        answered("current", on("current").join(g.current().select(*key, "subject_id"), key))
+        answered("previous", on("previous").join(state.previous(claims).select(*key, "subject_id"), key))
+        decided = g.conflicts().select(*key, "subject_id", "state")
         answered("conflict", on("conflict").join(decided, key), status=F.when(F.col("subject_id").isNotNull(), "found").when(F.col("state") == "conflict", "conflict"))
         timed = q.where(F.col("route").isin("as_of", "before", "after", "interval")).select(F.col("question_id").alias("probe_id"), *key, F.col("route").alias("kind"), "value")
-        at = temporal.at_constraint(self.claims, timed, texts).withColumnRenamed("probe_id", "question_id")
+        at = temporal.at_constraint(claims, timed, texts).withColumnRenamed("probe_id", "question_id")
+        at = stored(at, "asked-days")
         answered("timed", at, status=F.when(F.col("subject_id").isNotNull(), "found"), day=F.col("day"))
-        others = graph.cooccurring(self.claims).groupBy(F.col("subject_id").alias("object_id")).agg(F.array_sort(F.collect_set("other_id")).alias("others"))
+        met = graph.cooccurring_with(self.claims, on("cooccurrence").select(F.col("object_id").alias("subject_id")))
+        others = met.groupBy(F.col("subject_id").alias("object_id")).agg(F.array_sort(F.collect_set("other_id")).alias("others"))
         answered("cooccurrence", on("cooccurrence").join(others, "object_id"), F.col("others"), none)
         if self.chain is not None:
-            last = temporal.latest_evidence(self.chain)
+            last = temporal.latest_evidence(g.chain)
             answered("provenance", on("provenance").join(last, key), F.col("sources"))
-            named = temporal.source_presence(self.chain, on("source_presence").select(F.col("question_id").alias("probe_id"), *key, "question")).withColumnRenamed("probe_id", "question_id")
+            named = temporal.source_presence(g.chain, on("source_presence").select(F.col("question_id").alias("probe_id"), *key, "question")).withColumnRenamed("probe_id", "question_id")
             answered("source_presence", named.where("size(sources) > 0"), F.col("sources"), none)
         answered("entity_pair", self._pairs(q, bound), F.array("verdict"), none)
 
