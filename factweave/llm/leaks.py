@@ -27,8 +27,8 @@ PASSAGE = 2 * STEPS
 #: Test texts of one index and passages that one task asks; more of either make more tasks.
 TEXTS_PER_INDEX = 50_000
 PASSAGES_PER_TASK = 20_000
-#: Bits of the filter of terms for each letter of the test items, and at most (128 MB).
-BITS_PER_LETTER, MOST_BITS = 4, 2**30
+#: Bits of the filter of terms for each letter of the test items, and at most (32 MB).
+BITS_PER_LETTER, MOST_BITS = 4, 2**28
 #: Postings of one block of the index.
 BLOCK = 64
 K1, B = 1.2, 0.75
