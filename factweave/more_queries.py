@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factweave import identity_queries, state_queries
+from factweave import identity_queries, resolution_queries, state_queries
+from factweave import retrieval_queries as Q
 from factweave.operators import claims as C
 from factweave.operators import contract
+from factweave.operators import extract as X
 from factweave.operators import graph as G
 from factweave.operators import identity as I
 from factweave.operators import inventory as V
 from factweave.operators import resolution as R
-from factweave.plans import formatting
+from factweave.plans import formatting, rag
 from factweave.sources.tables import table
 
 
@@ -53,7 +55,30 @@ def shared_artifacts(spark, folder):
     return x.join(y, "subject_mention").select("subject_mention", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.arrays_overlap("x", "y").alias("overlap"))
 
 
+def hybrid(spark, folder):
+    """Claims by patterns and by proposals; the claims table stands for a model."""
+    c = table(spark, folder, "claims_checkpoint50").select("artifact_id", "subject_mention", F.upper("predicate").alias("predicate"), "object_mention", "confidence", "evidence_span")
+    a = table(spark, folder, "artifacts").select("id", "title", "content").distinct()
+    return X.extracted(a, "hybrid", c).groupBy("extraction_method", "predicate").agg(F.count(F.lit(1)).alias("claims"))
+
+
+def hard(spark, folder):
+    e = resolution_queries.entries(spark, folder)
+    return R.hard_pairs(e.select("norm", "type", F.regexp_extract_all("norm", F.lit("[a-z]{2,5}-[0-9]+"), F.lit(0)).alias("tickets"), F.coalesce(I.is_role(F.col("norm")), F.lit(False)).alias("role"))).groupBy("how").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def structured(spark, folder):
+    q = table(spark, folder, "retrieval_questions").select("question_id", "question")
+    known = q.select("question_id", F.when(F.col("question_id") < "qst_0050", "found").otherwise("absent").alias("status"), F.lit("graph").alias("answer"))
+    return rag.structured(Q.corpus(spark, folder).select("doc_id", "body"), q, known).groupBy("from_graph").agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("answer") == "graph").alias("graph_answers"))
+
+
 QUERIES = {
+    "D20_hard_pairs": hard,
+    "D32_entity_evidence": lambda s, d: R.evidence_of(resolution_queries.entities(s, d), table(s, d, "claims_checkpoint50")),
+    "K03_hybrid_claims": hybrid,
+    "R06_structured": structured,
+    "R12_gold_sample": lambda s, d: rag.gold_sample(table(s, d, "artifacts"), 5).select("id", "source", "size", "rank"),
     "B35_answer_lines": lambda s, d: answers(s, d).select("question_id", formatting.answer_line(F.col("status"), F.col("answer"), F.col("confidence")).alias("line")),
     "B36_traces": lambda s, d: formatting.trace(answers(s, d)),
     "B39_codecs": codec,
@@ -84,6 +109,8 @@ _LABEL = "CASE WHEN confidence >= 0.9 THEN 'High' WHEN confidence >= 0.7 THEN 'M
 _NAMES = ("email_match", "email_username_match", "external_id_match", "username_match", "name_similarity")
 
 ORACLES = {
+    "R06_structured": "SELECT question_id < 'qst_0050' AS from_graph, count(*) AS questions, count(*) FILTER (question_id < 'qst_0050') AS graph_answers FROM retrieval_questions GROUP BY 1",
+    "R12_gold_sample": "WITH a AS (SELECT id, min(struct_pack(s := source, n := length(coalesce(content, '')))) AS x FROM artifacts WHERE id IS NOT NULL GROUP BY id), b AS (SELECT id, x.s AS source, CASE WHEN x.n < 400 THEN 'short' WHEN x.n > 8000 THEN 'long' ELSE 'medium' END AS size FROM a) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source, size ORDER BY md5('gold|' || id), id) AS INTEGER) AS rank FROM b) WHERE rank <= 5",
     "B35_answer_lines": f"SELECT question_id, CASE status WHEN 'found' THEN answer || ' (' || {_LABEL} || ' confidence)' WHEN 'conflict' THEN 'Sources disagree.' ELSE 'Nothing is known about this.' END AS line FROM ({_ANS})",
     "B36_traces": f"SELECT question_id, concat_ws(' ', {', '.join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '-')" for c in ('route', 'entity', 'predicate', 'day', 'status', 'subject_id'))}) AS trace FROM ({_ANS})",
     "B39_codecs": "SELECT claim_id, confidence, valid_from, count(*) AS rows, CAST(max(cardinality(metadata)) AS INTEGER) AS entries FROM claims_checkpoint50 GROUP BY 1, 2, 3",

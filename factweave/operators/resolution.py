@@ -164,6 +164,40 @@ def pair_candidates(entries: DataFrame) -> DataFrame:
     return every.groupBy("a", "b").agg(F.min("how").alias("how"))
 
 
+def hard_pairs(entries: DataFrame, per_entry: int = 3) -> DataFrame:
+    """``a, b, how``: cases that are easily decided wrongly, of ``entries(norm, type, tickets, role)``.
+
+    A mailbox of a role and each of the people nearest to it by a hash, two names that stand with
+    the same ticket, two names with a word in common. ``per_entry`` bounds how many partners an
+    entry is shown with, as a reviewer's list does; it is no limit of what may be the same.
+    """
+    e = entries.where("norm is not null and norm <> ''").groupBy("norm", "type").agg(F.flatten(F.collect_set(F.coalesce("tickets", F.array().cast("array<string>")))).alias("tickets"), F.bool_or("role").alias("role"))
+    person = e.where("type = 'person'")
+    slots = F.lit(64)
+    role = e.where("role").select("norm", F.pmod(F.xxhash64("norm"), slots).alias("k"))
+    near = person.select("norm", F.pmod(F.xxhash64("norm"), slots).alias("k"))
+    word = person.select("norm", F.explode(F.array_distinct(F.split("norm", r"\s+"))).alias("k")).where("length(k) > 1")
+    ticket = e.select("norm", F.explode(F.array_distinct("tickets")).alias("k"))
+    every = _paired(role, near, "role-mailbox").unionByName(_paired(ticket, ticket, "ticket")).unionByName(_paired(word, word, "shared-word"))
+    one = every.groupBy("a", "b").agg(F.min("how").alias("how"))
+    from factweave.operators.inventory import top_per
+
+    return top_per(one, ["a", "how"], [F.xxhash64("a", "b"), F.col("b")], per_entry).drop("rank")
+
+
+def entity(entities: DataFrame, key: str) -> DataFrame:
+    """One entity by its key, with what it is called and where it was met."""
+    return entities.where(F.col("entity_key") == key)
+
+
+def evidence_of(entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """``entity_key, claims, artifacts`` of every entity by its mentions; entities without claims have zeros."""
+    names = entities.select("entity_key", F.explode("mentions").alias("m")).select("entity_key", mention_key(F.col("m")).alias("k")).distinct()
+    said = claims.select("claim_id", "artifact_id", F.explode(F.array_distinct(F.array(mention_key(F.col("subject_mention")), mention_key(F.col("object_mention"))))).alias("k"))
+    per = names.join(said.hint("merge"), "k").groupBy("entity_key").agg(F.count_distinct("claim_id").alias("claims"), F.count_distinct("artifact_id").alias("artifacts"))
+    return entities.select("entity_key").distinct().join(per, "entity_key", "left").na.fill(0, ["claims", "artifacts"])
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table as the bits of a number."""
     masks: dict[str, int] = {}

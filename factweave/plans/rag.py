@@ -89,3 +89,23 @@ def snippets(docs: DataFrame, questions: DataFrame, top: int = 6, shown: int = 4
     found = search("bm25", docs, questions, top).where(F.col("rank") <= shown)
     text = F.left(F.trim(F.regexp_replace("body", r"\s+", " ")), F.lit(length))
     return found.join(docs.select("doc_id", text.alias("snippet")).hint("merge"), "doc_id").select("question_id", F.col("rank").alias("place"), "doc_id", "snippet")
+
+
+def structured(docs: DataFrame, questions: DataFrame, graph_answers: DataFrame, k: int = TOP, budget: int = BUDGET) -> DataFrame:
+    """The graph's answer where it has one, else that of half as much retrieved context.
+
+    ``graph_answers(question_id, status, answer)``; an absent or conflicting state is no answer.
+    """
+    known = graph_answers.where("status = 'found'").select("question_id", F.col("answer").alias("__a"))
+    got = run("hybrid", docs, questions, k=k, budget=budget // 2)
+    met = got.join(known, "question_id", "left")
+    return met.select("question_id", F.lit("structured").alias("system"), F.coalesce("__a", "answer").alias("answer"), "doc_ids", "context_chars", F.col("__a").isNotNull().alias("from_graph"))
+
+
+def gold_sample(artifacts: DataFrame, per_source: int, seed: str = "gold") -> DataFrame:
+    """``id, source, size, rank``: artifacts to be labelled: of every source as many of each size, in the order of a hash."""
+    from factweave.operators.inventory import hash_order, size_bucket, top_per
+
+    a = artifacts.where("id is not null").groupBy("id").agg(F.min(F.struct("source", F.length(F.coalesce("content", F.lit(""))).alias("n"))).alias("x"))
+    rows = a.select("id", "x.source", size_bucket(F.col("x.n")).alias("size"))
+    return top_per(rows, ["source", "size"], [hash_order("id", seed), F.col("id")], per_source)

@@ -33,6 +33,18 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], at: str) -> N
     query.awaitTermination()
 
 
+def polled(stream: DataFrame, each: Callable[[DataFrame, int], None], at: str, every: str = "2 seconds"):
+    """A query that looks for new input ``every`` so often until it is stopped; a batch that fails is tried again at the next start.
+
+    Returns the running query: ``stop()`` ends it after the batch at hand.
+    """
+    def guarded(batch: DataFrame, no: int) -> None:
+        if not batch.isEmpty():
+            each(batch, no)
+
+    return stream.writeStream.option("checkpointLocation", f"{at}/progress").trigger(processingTime=every).foreachBatch(guarded).start()
+
+
 def first_of_either(batch: DataFrame, id_: str, key: str, order: str) -> DataFrame:
     """Rows kept by taking them in ``order`` and dropping each whose id or key is already taken.
 

@@ -87,3 +87,50 @@ def test_answering_systems(spark):
     assert long["q1"].doc_ids == [1]
     with pytest.raises(ValueError):
         rag.search("other", docs, q, 3)
+
+
+def test_methods_of_extraction(spark):
+    from factweave.operators import extract as X
+
+    arts = spark.createDataFrame([("a", None, "Ann Lee owns Acme."), ("b", " Ticket one ", "This depends on ledger-sync, and blocks ENG-12. Assigned to Bo Ray"), ("c", "t", "nothing"), ("d", "t", None)], "id string, title string, content string")
+    found = {(r.artifact_id, r.subject_mention, r.predicate, r.object_mention): r.confidence for r in X.claims(arts).collect()}
+    assert found == {("a", "Ann Lee", "OWNS", "Acme"): 0.88, ("b", "Ticket one", "DEPENDS_ON", "ledger-sync"): 0.81, ("b", "Ticket one", "BLOCKS", "ENG-12"): 0.84, ("b", "Bo Ray", "ASSIGNED_TO", "Ticket one"): 0.8}
+    offers = spark.createDataFrame([("a", "Ann Lee", "OWNS", "Acme", 0.9, "x"), ("a", "Bo", "OWNS", "Acme", 0.9, "x"), ("a", "Bob", "OWNS", "Acme", 0.9, "x"), ("c", "Cyd", "LEADS", "Zeta", 0.9, "x"), ("c", "Cyd", "LEADS", "Eta", 0.5, "x")], "artifact_id string, subject_mention string, predicate string, object_mention string, confidence double, evidence_span string")
+    how = lambda *a: sorted((r.artifact_id, r.subject_mention, r.extraction_method) for r in X.extracted(arts.where("id <> 'b'"), *a).collect())
+    assert how("hybrid", offers) == [("a", "Ann Lee", "deterministic"), ("a", "Bob", "hybrid"), ("c", "Cyd", "hybrid")] and how("hybrid", offers, False) == [("a", "Ann Lee", "deterministic"), ("c", "Cyd", "hybrid")]
+    assert how("llm", offers) == [("a", "Ann Lee", "llm"), ("a", "Bob", "llm"), ("c", "Cyd", "llm")] and how("deterministic", offers) == [("a", "Ann Lee", "deterministic")] and how("llm") == []
+    with pytest.raises(ValueError):
+        X.extracted(arts, "guess")
+
+
+def test_lexicon_of_long_phrases(spark):
+    from factweave.operators import extract as X
+
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = spark.createDataFrame([("1", f"x {long} y. Acme-Corp, acme corp"), ("2", long[:-1]), ("3", "ACME corps"), ("4", None)], "artifact_id string, content string")
+    lex = spark.createDataFrame([("e1", long), ("e2", "Acme Corp"), ("e3", "!!"), ("e2", "acme")], "entity string, phrase string")
+    got = {(r.artifact_id, r.entity, r.phrase[:4], r.word_at) for r in X.lexicon_matches(texts, lex).collect()}
+    assert got == {("1", "e1", "w0 w", 2), ("1", "e2", "Acme", 33), ("1", "e2", "acme", 33), ("3", "e2", "acme", 1)}
+    assert X.lexicon_matches(texts, lex.limit(0)).count() == 0
+
+
+def test_structured_answers_come_first(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, body string")
+    q = spark.createDataFrame([("q1", "alpha"), ("q2", "gamma"), ("q3", "alpha")], "question_id string, question string")
+    known = spark.createDataFrame([("q1", "found", "Ann"), ("q2", "absent", "unknown"), ("q3", "conflict", "conflict")], "question_id string, status string, answer string")
+    got = {r.question_id: (r.answer, r.from_graph) for r in rag.structured(docs, q, known).collect()}
+    assert got == {"q1": ("Ann", True), "q2": ("mock: gamma", False), "q3": ("mock: alpha beta", False)}
+
+
+def test_poll_goes_on_until_it_is_stopped(spark):
+    import time
+
+    at, seen = shared_dir(spark, "polled"), []
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{at}/in")
+    query = G.polled(spark.readStream.schema("x int").parquet(f"{at}/in"), lambda batch, no: seen.extend(r.x for r in batch.collect()), f"{at}/state", "1 second")
+    spark.createDataFrame([(2,)], "x int").write.mode("append").parquet(f"{at}/in")
+    end = time.time() + 60
+    while len(seen) < 2 and time.time() < end:
+        time.sleep(0.3)
+    query.stop()
+    assert sorted(seen) == [1, 2]
