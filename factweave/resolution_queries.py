@@ -142,6 +142,7 @@ ORACLES = {
     "D31_mention_lookup": f"WITH {_NAMES} SELECT mention, entity_key, entities FROM nm",
     "E14_per_class": f"""WITH {_D}, y AS (SELECT gold, CASE decision WHEN 'MERGE' THEN 'SAME_ENTITY' WHEN 'KEEP_SEPARATE' THEN 'DIFFERENT_ENTITY' ELSE 'UNCERTAIN' END AS said FROM d WHERE gold IS NOT NULL), n AS (SELECT c AS class, (SELECT count(*) FROM y WHERE gold = c) AS wanted, (SELECT count(*) FROM y WHERE said = c) AS given, (SELECT count(*) FROM y WHERE gold = c AND said = c) AS right_
       FROM (SELECT unnest(['SAME_ENTITY', 'DIFFERENT_ENTITY', 'UNCERTAIN']) AS c)) SELECT class, wanted, given, right_ AS right, round(CASE WHEN given > 0 THEN right_ / given ELSE 0 END, 4) AS precision, round(CASE WHEN wanted > 0 THEN right_ / wanted ELSE 0 END, 4) AS recall, round(CASE WHEN given + wanted > 0 THEN 2 * right_ / (given + wanted) ELSE 0 END, 4) AS f1 FROM n WHERE given + wanted > 0""",
+    "J08_canonical_keys": f"WITH {_D}, {identity_queries._REC}, {identity_queries._KEYS} SELECT key, lower(coalesce(type, '')) || ':' || array_to_string(t, '-') AS canonical_key FROM k1",
     "H04_gap_fill": f"WITH b AS (SELECT DISTINCT claim_id, predicate FROM {_CL} WHERE extraction_method = 'deterministic') SELECT * FROM b UNION ALL SELECT claim_id, min(predicate) FROM {_CL} WHERE claim_id NOT IN (SELECT claim_id FROM b) GROUP BY 1",
     "H05_last_writer": "SELECT user_id, last(event_type ORDER BY event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1",
     "J05_boosted_scores": f"""WITH {_D}, v AS (SELECT pair_id, score AS s0, CASE WHEN {_H} % 3 <> 0 THEN ({_H} % 100) / 100.0::DOUBLE ELSE 0 END AS e, CASE WHEN {_H} % 5 <> 0 THEN (({_H} // 7) % 100) / 100.0::DOUBLE ELSE 0 END AS c, {_H} % 2 AS o FROM sc),
