@@ -55,3 +55,35 @@ def trace(answers: DataFrame) -> DataFrame:
     """``question_id, trace``: ids and decisions of an answer on one line, no contents."""
     part = lambda n: F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit("-")))
     return answers.select("question_id", F.concat_ws(" ", *[part(n) for n in ("route", "entity", "predicate", "day", "status", "subject_id")]).alias("trace"))
+
+
+#: Keys of an envelope; all are always there.
+ENVELOPE = "entity_id predicate status value valid_from valid_to confidence as_of history claims evidence conflicting_subjects resolution".split()
+
+
+def envelope(answers: DataFrame) -> DataFrame:
+    """``question_id, envelope``: what is known as JSON with a fixed set of keys; lists that are missing are empty.
+
+    ``answers`` as ``ClaimGraph.answer``, with any of ``valid_from, valid_to, history, claims,
+    evidence, conflicting_subjects``. An absent state has no value.
+    """
+    empty = F.array().cast("array<string>")
+    lists = ("history", "claims", "evidence", "conflicting_subjects")
+    own = {"entity_id": "entity", "predicate": "predicate", "status": "status", "confidence": "confidence", "as_of": "day", "resolution": "route"}
+
+    def part(key: str) -> Column:
+        name = own.get(key, key)
+        if key == "value":
+            return F.when(F.col("status") == "found", F.struct(F.col("subject_id").alias("entity_id"), F.col("answer").alias("name")))
+        if name in answers.columns:
+            return F.coalesce(F.col(name), empty) if key in lists else F.col(name)
+        return empty if key in lists else F.lit(None).cast("string")
+
+    return answers.select("question_id", F.to_json(F.struct(*[part(k).alias(k) for k in ENVELOPE]), {"ignoreNullFields": "false"}).alias("envelope"))
+
+
+def benchmark_answer(category: Column, status: Column, answer: Column, claims: Column, sources: Column) -> Column:
+    """An answer in the words of its category: provenance counts claims and names sources, a conflict says so, an absence abstains."""
+    names = F.array_join(F.coalesce(sources, F.array().cast("array<string>")), ", ")
+    proof = F.concat(claims.cast("string"), F.lit(" claim(s) from "), F.when(names == "", "no source").otherwise(names))
+    return F.when(status == "absent", "abstain").when(status == "conflict", "conflict").when(category == "provenance", proof).otherwise(answer)

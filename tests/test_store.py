@@ -134,3 +134,29 @@ def test_poll_goes_on_until_it_is_stopped(spark):
         time.sleep(0.3)
     query.stop()
     assert sorted(seen) == [1, 2]
+
+
+def test_asking_a_store(spark):
+    from factweave.plans import formatting, service
+
+    g = GraphStore(spark, shared_dir(spark, "asked"))
+    assert service.health(g) == {"artifacts": 0, "entities": 0, "claims": 0}
+    g.load_artifacts(spark.createDataFrame([("artifact:a", "Slack", "t", None, "2024-05-05", "x")], ART))
+    g.load_entities(spark.createDataFrame([("person:ann", "Ann Lee", "Person", ["Ann"], []), ("account:acme", "Acme", "Account", ["Acme"], ["ACME Inc"])], "entity_key string, name string, label string, mentions array<string>, aliases array<string>"))
+    names = spark.createDataFrame([("Ann", "person:ann", "Person"), ("Acme", "account:acme", "Account")], "mention string, entity string, label string")
+    g.load_claims(spark.createDataFrame([claim(1, "Ann", "OWNS", "Acme")], CLAIM), names)
+    q = spark.createDataFrame([("1", "Who owns Acme now?"), ("2", "Which source shows who owns 'ACME Inc' and 'x'?"), ("3", "Who owns Zeta?")], "question_id string, question string")
+    found = service.ask(g, q)
+    got = {r.question_id: (r.status, r.answer) for r in found.collect()}
+    assert got == {"1": ("found", "Ann Lee"), "2": ("found", "slack"), "3": ("absent", "unknown")}
+    import json
+
+    e = {r.question_id: json.loads(r.envelope) for r in formatting.envelope(found).collect()}
+    assert all(list(x) == formatting.ENVELOPE for x in e.values()) and e["1"]["value"] == {"entity_id": "person:ann", "name": "Ann Lee"} and e["3"]["value"] is None and e["3"]["history"] == []
+    rows = [("provenance", "found", "x", 2, ["a", "b"], "2 claim(s) from a, b"), ("provenance", "found", "x", 0, None, "0 claim(s) from no source"), ("state", "found", "Ann", 1, None, "Ann"), ("state", "absent", "", 0, None, "abstain"), ("state", "conflict", "", 0, None, "conflict")]
+    df = spark.createDataFrame(rows, "c string, s string, a string, n int, src array<string>, want string")
+    assert [r[0] for r in df.select(formatting.benchmark_answer(F.col("c"), F.col("s"), F.col("a"), F.col("n"), F.col("src"))).collect()] == [r[5] for r in rows]
+    b = spark.createDataFrame([("1", "found", "Ann", 0.96, ["slack"], ["Ann", "Bo", "Cy"]), ("2", "absent", "unknown", None, None, None)], "question_id string, status string, answer string, confidence double, sources array<string>, owners array<string>")
+    made = {r.question_id: [x["text"]["text"] for x in json.loads(r.blocks)] for r in formatting.blocks(b).collect()}
+    assert made == {"1": ["Ann (High confidence)", "Sources: slack", "Previously: Bo, Cy"], "2": ["Nothing is known about this."]}
+    assert formatting.checklist(found.where("question_id = '3'")).first().checklist == "[x] route\n[ ] entity\n[ ] state\n[ ] answer"
