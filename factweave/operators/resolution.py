@@ -264,7 +264,8 @@ def fuzzy_pairs(entries: DataFrame, ratio: int = RATIO) -> DataFrame:
     e = entries.where("norm is not null and norm <> ''").select("type", "norm").distinct()
     g = e.select("type", "norm", F.explode(_kept_grams("norm")).alias("g"))
     met = g.select("type", "g", F.col("norm").alias("a")).join(g.select("type", "g", F.col("norm").alias("b")).hint("merge"), ["type", "g"]).where("a < b")
-    likely = met.where(F.abs(F.length("a") - F.length("b")) <= 0.15 * (F.length("a") + F.length("b"))).select("type", "a", "b").distinct()
+    la, lb = (F.length(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))) for c in "ab")
+    likely = met.where(F.abs(la - lb) <= 0.15 * (la + lb) + 1e-9).select("type", "a", "b").distinct()
     return likely.withColumn("ratio", token_ratio("a", "b")).where(F.col("ratio") >= ratio)
 
 

@@ -19,8 +19,8 @@ def ratio(a, b):
 def test_fuzzy_pairs_lose_nothing(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
-    texts = set(words) | {" ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(80)}
-    for t in list(texts)[:120]:
+    texts = set(words) | {" ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(80)} | {"ab  cd ", " ab cd", "ab cd", "a\tb cd e", "e cd b a"}
+    for t in sorted(texts, key=R.hash_text)[:140]:
         i = rng.randrange(len(t))
         texts |= {t[:i] + t[i + 1 :], t[:i] + rng.choice("abcd") + t[i:], " ".join(reversed(t.split()))}
     texts = sorted(x for x in texts if x.strip())
