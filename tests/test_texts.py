@@ -17,3 +17,10 @@ def test_thread_text_keeps_all_lines_and_spellings(spark, tmp_path):
     spark.createDataFrame(rows, CHAT).write.parquet(str(tmp_path / "artifacts.parquet"))
     got = {r.thread_id: r.text for r in text_queries.QUERIES["B13_thread_text"](spark, str(tmp_path)).collect()}
     assert got == {T: "Ann Bee: one\n\ntwo: 2\nthree\nBob: four\nfive\nCy: note: six", "x-1": "Ann Bee: other\nline"}
+
+
+def test_chat_times_are_named_as_in_the_sql(spark, tmp_path):
+    rows = [("a1", "slack", "Ann", "x", ("c", T, T, "Ann", "U1")), ("a2", "gmail", "Ann", "x", ("c", T, "m", "Ann", "U2"))]
+    spark.createDataFrame(rows, CHAT.replace(">", ",author_user_id:string>")).write.parquet(str(tmp_path / "artifacts.parquet"))
+    got = text_queries.QUERIES["B11_slack_times"](spark, str(tmp_path))
+    assert [r.asDict() for r in got.collect()] == [{"message_id": T, "at": "2025-02-19T21:20:00+00:00"}]
