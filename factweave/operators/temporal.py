@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import state
 from factweave.operators.state import KEY
-from factweave.plans import sharded
+from factweave.plans import contained, sharded
 from factweave.plans.lineage import stored
 from factweave.plans.small import bounded
 
@@ -50,13 +50,12 @@ def anchored(claims: DataFrame, asked: DataFrame) -> DataFrame:
 def dated_mentions(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``probe_id, day``: the last day of a text that holds the anchor.
 
-    ``texts(day, text)``, ``asked(probe_id, reference)``. Different anchors are few against the
-    texts and go to every task if they are measured to be small; the best day is combined
-    before the shuffle.
+    ``texts(day, text)``, ``asked(probe_id, reference)``. Texts are read once, whatever the number
+    of anchors; see ``contained.latest``.
     """
-    anchors = asked.select(F.lower(F.trim("reference")).alias("anchor")).where("anchor <> ''").distinct()
-    met = texts.where("day is not null and text is not null").join(bounded(anchors), F.lower("text").contains(F.col("anchor")))
-    last = met.groupBy("anchor").agg(F.max("day").alias("day"))
+    anchors = asked.select(F.lower(F.trim("reference")).alias("needle")).where("needle <> ''").distinct()
+    last = contained.latest(texts.select(F.unix_date("day").alias("value"), F.lower("text").alias("text")), anchors)
+    last = last.select(F.col("needle").alias("anchor"), F.date_from_unix_date("last").alias("day"))
     return asked.select("probe_id", F.lower(F.trim("reference")).alias("anchor")).join(last, "anchor").select("probe_id", "day")
 
 
