@@ -53,3 +53,41 @@ def test_entities_meet_by_their_strongest_signal(spark):
     claims = spark.createDataFrame([("1", " ann.lee@x.test", "Ann  LEE"), ("2", "Ann Lee", "Nobody"), ("3", None, "")], "claim_id string, subject_mention string, object_mention string")
     assert [r.resolution_status for r in R.bridged(claims, known).orderBy("claim_id").collect()] == ["resolved", "review", "unresolved"]
     assert R.merged(R.candidates(df.limit(0))).count() == 0
+
+
+def test_fuzzy_pairs_of_long_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 5)
+    monkeypatch.setattr(R, "AT_ONCE", 7)
+    rng = random.Random(3)
+    texts = set()
+    for n in (1, 2, 20, 63, 64, 65, 70, 130):
+        for _ in range(3):
+            t = "".join(rng.choice("abcdeé日𝔸") for _ in range(n))
+            texts |= {t, t + "x", t[1:], t[: n // 2] + "yz" + t[n // 2 :], t[::-1], t[: n - n // 9] + "q" * (n // 9)}
+    texts = sorted(texts - {""})
+    df = spark.createDataFrame([("p", t) for t in texts] + [(None, texts[0]), (None, texts[1]), ("p", " "), ("q", texts[5])], "type string, norm string")
+    got = {(r.a, r.b): r.ratio for r in R.fuzzy_pairs(df).collect()}
+    want = {(a, b): ratio(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if ratio(a, b) >= 85}
+    assert got.keys() == want.keys() and len(got) > 40 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_fuzzy_pairs_with_nothing_in_common_are_not_compared(spark, monkeypatch):
+    """People of few first names and departments, who share most pieces but are not alike."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    texts = {f"{rng.choice(['anna', 'emil', 'rosa'])} {name()} ({rng.choice(['legal', 'sales'])})" for _ in range(4000)}
+    compared = spark.sparkContext.accumulator(0)
+    whole = R._common
+
+    def counted(x, y):
+        compared.add(len(x))
+        return whole(x, y)
+
+    monkeypatch.setattr(R, "_common", counted)
+    left = spark.createDataFrame([("p", t) for t in texts], "type string, norm string").toPandas()
+    signed = next(R._signed(iter([left])))
+    sizes = sorted(set(signed["n"]))
+    for i, la in enumerate(sizes):
+        for lb in sizes[i:]:
+            list(R._alike(85, la == lb, la, lb, signed[signed["n"] == la], signed[signed["n"] == lb]))
+    assert 0 < compared.value < len(texts) ** 2 / 200
