@@ -91,3 +91,38 @@ def test_fuzzy_pairs_with_nothing_in_common_are_not_compared(spark, monkeypatch)
         for lb in sizes[i:]:
             list(R._alike(85, la == lb, la, lb, signed[signed["n"] == la], signed[signed["n"] == lb]))
     assert 0 < compared.value < len(texts) ** 2 / 200
+
+
+def test_hard_pairs_of_groups_of_any_size(spark):
+    rng = random.Random(5)
+    parts = ["ann", "bo", "eng-1", "(eng-1)", "x", "ops-22", "lee", "team"]
+    rows = [("person", " ".join(rng.sample(parts, rng.randrange(1, 4)) + [f"n{i % 90}"])) for i in range(260)]
+    rows += [(rng.choice(["email", "person", None]), f"{rng.choice(['sales', 'help'])}@{i}.test") for i in range(60)] + [("ticket", t) for t in ("eng-1", "eng-1 b", "ops-22", "eng-1 c")]
+    tickets = lambda n: [t for t in ("eng-1", "ops-22") if t in n]
+    full = [(n, t, tickets(n) + ([None] if n[0] == "a" else []), n.startswith("sales") or n[-1] == "7") for t, n in rows + rows[:5]] + [("", "person", [], True), (None, "person", None, None), ("bo", "person", None, None)]
+    df = spark.createDataFrame(full, "norm string, type string, tickets array<string>, role boolean")
+    slot = {r.norm: r.s for r in df.selectExpr("norm", "pmod(xxhash64(norm), 64) as s").distinct().collect()}
+    known = {}
+    for n, t, k, r in full:
+        if n:
+            x = known.setdefault(n, [False, False, set()])
+            known[n] = [x[0] or bool(r), x[1] or t == "person", x[2] | {y for y in k or [] if y}]
+    words = {n: {w for w in n.split() if len(w) > 1} for n in known}
+    every = {}
+    for a in sorted(known):
+        for b in sorted(known):
+            (ra, pa, ta), (rb, pb, tb) = known[a], known[b]
+            if a < b:
+                how = "role-mailbox" if slot[a] == slot[b] and (ra and pb or rb and pa) else "shared-word" if pa and pb and words[a] & words[b] else "ticket" if ta & tb else None
+                every.setdefault((a, how), []).append(b)
+    for most in (1, 3):
+        want = {(a, b, how) for (a, how), bs in every.items() if how for b in bs[:most]}
+        assert {tuple(r) for r in R.hard_pairs(df, most).collect()} == want
+    assert {h for _, _, h in want} == {"role-mailbox", "shared-word", "ticket"} and R.hard_pairs(df.limit(0)).count() == 0
+
+
+def test_hard_pairs_do_not_meet_all_that_share_a_word(spark):
+    df = spark.range(60_000).selectExpr("concat('ann n', id) as norm", "'person' as type", "cast(null as array<string>) as tickets", "false as role")
+    got = R.hard_pairs(df)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.groupBy("how").count().collect() == [("shared-word", 3 * 60_000 - 6)]
