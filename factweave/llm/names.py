@@ -17,6 +17,8 @@ from factweave.sources.tables import table
 
 #: Radius of the join in plain edit distance; two plain edits make a transposition.
 RADIUS = 2
+#: Letters from which a word is held against others by its ends.
+LONG_WORD = 48
 #: Different full names that use a mailbox before it counts as shared.
 SHARED_BOX = 3
 #: Members of an entity that one task pairs with as many others.
@@ -99,6 +101,37 @@ def _damerau(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([N.damerau(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def slip_keys(word: str) -> list[str]:
+    """Texts of which any two words one edit or transposition apart have one in common.
+
+    These are the word and what is left of it without one letter. Of a long word, which has too
+    many of those, nearly half at each end, as a slip leaves one end as it is; a neighbour may be
+    a letter shorter or longer, so the ends are those of all three lengths.
+    """
+    n = len(word)
+    keys = {f"1{word}"} | {f"1{word[:i]}{word[i + 1:]}" for i in range(n)} if n <= LONG_WORD + 1 else set()
+    if n >= LONG_WORD:
+        for m in {x // 2 - 1 for x in (n - 1, n, n + 1)}:
+            keys |= {f"<{word[:m]}", f">{word[n - m :]}"}
+    return sorted(keys)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _slip_keys(word: pd.Series) -> pd.Series:
+    return word.map(slip_keys)
+
+
+def one_slip(strings: DataFrame) -> DataFrame:
+    """``kind, a, b`` (``a < b``): all pairs of ``strings(kind, s)``, distinct and not blank, one edit or transposition apart.
+
+    They meet by equality of what a slip leaves, so the work grows with the strings.
+    """
+    k = strings.select("kind", "s", F.explode(_slip_keys("s")).alias("k"))
+    a, b = (k.select("kind", F.xxhash64("k").alias("h"), F.col("s").alias(x)) for x in "ab")
+    met = a.join(b.hint("merge"), ["kind", "h"]).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", RADIUS) >= 0))
+    return met.select("kind", "a", "b").distinct().where(_damerau("a", "b") <= 1)
+
+
 def canonical(words: DataFrame) -> DataFrame:
     """``kind, s, canon``: the spelling of which ``s`` is a slip, by one edit or transposition after another.
 
@@ -107,7 +140,7 @@ def canonical(words: DataFrame) -> DataFrame:
     Of first names (kind ``f``), which lie close together, only rare ones near a common one are
     slips. A slip of a slip leads on to the end, however long the chain is.
     """
-    near = within(words.select("kind", "s")).where(_damerau("a", "b") <= 1)
+    near = one_slip(words.select("kind", "s"))
     both = near.union(near.select("kind", "b", "a"))
     sized = words.select("kind", F.col("s").alias("a"), F.col("n").alias("na")).join(both.hint("merge"), ["kind", "a"])
     sized = sized.join(words.select("kind", F.col("s").alias("b"), F.col("n").alias("nb")).hint("merge"), ["kind", "b"])

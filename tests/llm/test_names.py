@@ -30,6 +30,30 @@ def test_metric_join_is_exact(spark):
     assert names.within(df.limit(0)).count() == 0
 
 
+def test_one_slip_is_exact(spark):
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(150)} | {"é", "日本", "本日", "x" * 4000}
+    for n in (names.LONG_WORD - 1, names.LONG_WORD, names.LONG_WORD + 1, names.LONG_WORD + 2, 90):
+        w = "".join(rng.choice("abcd") for _ in range(n))
+        for i in (0, 1, n // 2 - 2, n // 2 - 1, n // 2, n // 2 + 1, n - 2, n - 1):
+            words |= {w, w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "y" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]}
+    words = sorted(words)
+    near = [(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= 1 and N.damerau(a, b) <= 1]
+    df = spark.createDataFrame([("l", w) for w in words] + [("o", w) for w in words[::2]], "kind string, s string")
+    want = [("l", *p) for p in near] + [("o", a, b) for a, b in near if a in words[::2] and b in words[::2]]
+    assert sorted(tuple(r) for r in names.one_slip(df).collect()) == sorted(want) and len(near) > 200
+    assert sum(len(k) for k in names.slip_keys("x" * 100_000)) < 400_000
+
+
+def test_slips_need_no_distance_to_every_pivot(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("all words are held against the root of their number")
+
+    monkeypatch.setattr(names, "within", never)
+    df = spark.createDataFrame([("l", "abcdefgh", 50), ("l", "abcdefhg", 1)], "kind string, s string, n long")
+    assert {r.s: r.canon for r in names.canonical(df).collect()} == {"abcdefgh": "abcdefgh", "abcdefhg": "abcdefgh"}
+
+
 def test_distances_of_a_batch():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcé日") for _ in range(rng.randrange(1, 12))) for _ in range(60)] + ["z" * 500]
